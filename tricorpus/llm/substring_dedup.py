@@ -64,9 +64,10 @@ def anchors(docs: DataFrame, window: int) -> DataFrame:
 
 
 def shared_positions(found: DataFrame, key: str) -> DataFrame:
-    """(doc_id, first, pos) of the rows of found(key, doc_id, pos) whose key has several doc_ids; first is the least of them."""
+    """(doc_id, first, pos) of the rows of found(key, doc_id, pos) whose key has several doc_ids; first is the least of them.
+    The keys are written first: a join beside its own aggregate would share its partitions, which Spark then can't split when a key is hot."""
     several = found.groupBy(key).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select(key, "first")
-    return found.join(several, key)
+    return found.join(cut(several, "shared-keys"), key)
 
 
 def near_windows(docs: DataFrame, window: int) -> DataFrame:
@@ -111,7 +112,7 @@ def covered_starts(docs: DataFrame, window: int) -> DataFrame:
     keyed = docs.select("doc_id", "text", row_key()).join(at, "doc_id").join(copies, "row_key", "left_anti")
     windows = cut(near_windows(keyed.select("doc_id", "row_key", "text", "at"), window), "windows")
     firsts = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    late = windows.join(firsts.drop("last"), ["w1", "w2"]).where("doc_id > first")
+    late = windows.join(cut(firsts.drop("last"), "first-windows"), ["w1", "w2"]).where("doc_id > first")
     return late.groupBy("row_key").agg(F.collect_set("start").alias("starts"))
 
 
