@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from . import text as T
 
+TRIPLET_WORDS = "array<struct<subject:array<string>,verb:array<string>,object:array<string>>>"
 Plugin = Callable[[Column], Column]
 
 
@@ -30,7 +31,7 @@ def from_python(function: Callable[[list], list], returns: str) -> Plugin:
 
 
 # language of a text: the language with most of its words among the text's first 1300 characters, "err" if none has any
-_COMMON = {
+COMMON = {
     "en": "the of and is to in that it was for with are on as",
     "de": "der die und das ist nicht von mit zu ein eine den im auf",
     "fr": "le la les des est et dans pour qui sur une par que au",
@@ -40,15 +41,21 @@ _COMMON = {
 
 def language(text: Column) -> Column:
     words = T.tokens(F.lower(F.substr(text, F.lit(1), F.lit(1300))))
-    votes = [F.struct(F.size(F.filter(words, lambda w, s=s: F.array_contains(F.array(*map(F.lit, s.split())), w))).alias("n"), F.lit(-i).alias("i"), F.lit(k).alias("k")) for i, (k, s) in enumerate(_COMMON.items())]
-    best = F.greatest(*votes)
-    return F.when(best["n"] > 0, best["k"]).otherwise("err")
+
+    def vote(place: int, name: str, common: str) -> Column:
+        n = F.size(F.filter(words, lambda w: w.isin(common.split())))
+        return F.struct(n.alias("n"), F.lit(-place).alias("place"), F.lit(name).alias("name"))
+
+    best = F.greatest(*(vote(i, k, s) for i, (k, s) in enumerate(COMMON.items())))
+    return F.when(best["n"] > 0, best["name"]).otherwise("err")
+
+
+CLAIM_CUES = tuple("show shows demonstrate propose proposed find found outperform outperforms improve improves achieve achieves suggest suggests result results significantly therefore better".split())
 
 
 def claim_score(claim: Column) -> Column:
     """From the fields sentence and chars of `claim`: how claim-like a sentence is, from 0 to 1, by its words."""
-    cues = "show shows demonstrate propose proposed find found outperform outperforms improve improves achieve achieves suggest suggests result results significantly therefore better".split()
-    hits = F.size(F.filter(T.tokens(F.lower(claim["sentence"])), lambda w: F.array_contains(F.array(*map(F.lit, cues)), F.regexp_replace(w, "[.,;:]$", ""))))
+    hits = F.size(F.filter(T.tokens(F.lower(claim["sentence"])), lambda w: F.array_contains(F.array(*map(F.lit, CLAIM_CUES)), F.regexp_replace(w, "[.,;:]$", ""))))
     return hits / (hits + F.lit(2.0)) + F.least(F.length(claim["sentence"]) / 10000.0, F.lit(0.1))
 
 
@@ -60,14 +67,14 @@ def triplets(sentence: Column) -> Column:
     words = T.tokens(F.regexp_replace(sentence, "[.!?]+$", ""))
     at = F.array_min(F.filter(F.transform(words, lambda w, i: F.when((i > 0) & (i < F.size(words) - 1) & w.rlike(_VERB_END), i)), lambda i: i.isNotNull()))
     found = F.array(F.struct(F.slice(words, 1, at).alias("subject"), F.array(F.get(words, at)).alias("verb"), F.slice(words, at + 2, F.size(words)).alias("object")))
-    return F.when(at.isNotNull(), found).otherwise(F.slice(found, 1, 0) if False else F.array().cast("array<struct<subject:array<string>,verb:array<string>,object:array<string>>>"))
+    return F.when(at.isNotNull(), found).otherwise(F.array().cast(TRIPLET_WORDS))
 
 
 def positional_triplets(sentence: Column) -> Column:
     """Words 1-2, 3 and 4-6 of sentences of over five words: a stand-in that every SQL engine can repeat."""
     words = T.tokens(sentence)
     found = F.array(F.struct(F.slice(words, 1, 2).alias("subject"), F.slice(words, 3, 1).alias("verb"), F.slice(words, 4, 3).alias("object")))
-    return F.when(F.size(words) > 5, found).otherwise(F.array().cast("array<struct<subject:array<string>,verb:array<string>,object:array<string>>>"))
+    return F.when(F.size(words) > 5, found).otherwise(F.array().cast(TRIPLET_WORDS))
 
 
 def pos_tags(phrase: Column) -> Column:
@@ -89,13 +96,13 @@ def pos_tags(phrase: Column) -> Column:
     return F.transform(T.tokens(phrase), lambda w: F.struct(w.alias("word"), tag(w).alias("tag")))
 
 
-_IRREGULAR = {"men": "man", "women": "woman", "children": "child", "feet": "foot", "mice": "mouse", "data": "datum", "criteria": "criterion", "analyses": "analysis", "matrices": "matrix"}
+IRREGULAR = {"men": "man", "women": "woman", "children": "child", "feet": "foot", "mice": "mouse", "data": "datum", "criteria": "criterion", "analyses": "analysis", "matrices": "matrix"}
 
 
 def lemma(word: Column) -> Column:
     """Nouns' singular by endings and a few exceptions."""
     out = F.when(F.length(word) < 4, word)
-    for many, one in _IRREGULAR.items():
+    for many, one in IRREGULAR.items():
         out = out.when(word == many, F.lit(one))
     return (
         out.when(word.rlike("(ss|us|is)$"), word)

@@ -8,11 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .words import CITATION, PUNCTUATION
+
 WHITE = r"[ \t\n\r\f]+"
-_YEAR, _FREE = "[0-9]{4}", r"""[A-Za-z0-9 .,!/"'-]*"""
-_CITED = f"(?:{_YEAR}{_FREE}|{_FREE}{_YEAR}|[0-9]+)"
-#: Years or numbers in brackets, with plain text before or after a year.
-CITATION = rf"\[{_CITED}\]|\({_CITED}\)"
 BROKEN_WORD = r"([\p{L}\p{N}_])-[ \t]+([\p{L}\p{N}_])"
 
 
@@ -85,6 +83,15 @@ def without_words(text: Column | str, words: tuple[str, ...]) -> Column:
     return F.array_join(F.filter(tokens(text), lambda w: ~F.array_contains(drop, w)), " ")
 
 
+def merge_et_al(sentences: Column) -> Column:
+    """An array of one-line sentences in which each that ends with "et al." takes the next one on."""
+    return F.split(F.regexp_replace(F.array_join(sentences, "\n"), r"(et al[.])\n", "$1 "), "\n")
+
+
+def has_punctuation(text: Column | str) -> Column:
+    return F.rlike(col(text), F.lit(f"[{PUNCTUATION}]"))
+
+
 def stem(name: Column | str, ending: str) -> Column:
     """A file name without its ending."""
     return F.regexp_replace(col(name), ending.replace(".", "[.]") + "$", "")

@@ -60,7 +60,7 @@ def triplet_csv(spark: SparkSession, path: str) -> DataFrame:
     """TRIPLET_LISTS from a CSV file whose triplets column holds lists of tuples as text; they are read as literals, never run."""
 
     @F.udf("array<struct<subject:string,verb:string,object:string>>")
-    def parse(value: str | None) -> list | None:
+    def parse(value):
         return None if value is None else [tuple(map(str, t)) for t in ast.literal_eval(value)]
 
     raw = spark.read.schema("paper string, triplets string").options(header=True, multiLine=True, quote='"', escape='"').csv(path)
@@ -71,7 +71,7 @@ def write_triplet_csv(lists: DataFrame, path: str) -> None:
     """The form that triplet_csv reads."""
 
     @F.udf("string")
-    def form(value: list) -> str:
+    def form(value):
         return repr([tuple(t) for t in value or []])
 
     lists.select("paper", form("triplets").alias("triplets")).write.options(header=True, quote='"', escape='"').csv(path)
