@@ -55,8 +55,8 @@ CLAIM_CUES = tuple("show shows demonstrate propose proposed find found outperfor
 
 def claim_score(claim: Column) -> Column:
     """From the fields sentence and chars of `claim`: how claim-like a sentence is, from 0 to 1, by its words."""
-    hits = F.size(F.filter(T.tokens(F.lower(claim["sentence"])), lambda w: F.array_contains(F.array(*map(F.lit, CLAIM_CUES)), F.regexp_replace(w, "[.,;:]$", ""))))
-    return hits / (hits + F.lit(2.0)) + F.least(F.length(claim["sentence"]) / 10000.0, F.lit(0.1))
+    hits = F.size(F.filter(T.tokens(F.lower(claim["sentence"])), lambda w: F.regexp_replace(w, "[.,;:]$", "").isin(*CLAIM_CUES)))
+    return T.let(hits, lambda n: n / (n + F.lit(2.0))) + F.least(F.length(claim["sentence"]) / 10000.0, F.lit(0.1))
 
 
 _VERB_END = r"(ed|es|ing|ize|izes|ise|ises|ify|ifies)$"
@@ -64,17 +64,18 @@ _VERB_END = r"(ed|es|ing|ize|izes|ise|ises|ify|ifies)$"
 
 def triplets(sentence: Column) -> Column:
     """Subject, verb and object word lists: cut around the first word with a verb's ending that has words on both sides."""
-    words = T.tokens(F.regexp_replace(sentence, "[.!?]+$", ""))
-    at = F.array_min(F.filter(F.transform(words, lambda w, i: F.when((i > 0) & (i < F.size(words) - 1) & w.rlike(_VERB_END), i)), lambda i: i.isNotNull()))
-    found = F.array(F.struct(F.slice(words, 1, at).alias("subject"), F.array(F.get(words, at)).alias("verb"), F.slice(words, at + 2, F.size(words)).alias("object")))
-    return F.when(at.isNotNull(), found).otherwise(F.array().cast(TRIPLET_WORDS))
+
+    def cut(words: Column) -> Column:
+        inner = F.transform(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), lambda w: w.rlike(_VERB_END))
+        return T.let(F.array_position(inner, True).cast("int"), lambda at: F.when(at > 0, F.array(F.struct(F.slice(words, 1, at).alias("subject"), F.array(F.get(words, at)).alias("verb"), F.slice(words, at + 2, F.size(words)).alias("object")))))
+
+    return F.coalesce(T.let(T.tokens(F.regexp_replace(sentence, "[.!?]+$", "")), cut), F.array().cast(TRIPLET_WORDS))
 
 
 def positional_triplets(sentence: Column) -> Column:
     """Words 1-2, 3 and 4-6 of sentences of over five words: a stand-in that every SQL engine can repeat."""
-    words = T.tokens(sentence)
-    found = F.array(F.struct(F.slice(words, 1, 2).alias("subject"), F.slice(words, 3, 1).alias("verb"), F.slice(words, 4, 3).alias("object")))
-    return F.when(F.size(words) > 5, found).otherwise(F.array().cast(TRIPLET_WORDS))
+    three = lambda w: F.when(F.size(w) > 5, F.array(F.struct(F.slice(w, 1, 2).alias("subject"), F.slice(w, 3, 1).alias("verb"), F.slice(w, 4, 3).alias("object"))))
+    return F.coalesce(T.let(T.tokens(sentence), three), F.array().cast(TRIPLET_WORDS))
 
 
 def pos_tags(phrase: Column) -> Column:

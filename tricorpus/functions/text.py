@@ -18,6 +18,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def tokens(text: Column | str) -> Column:
     """White-space separated words."""
     return F.filter(F.split(col(text), WHITE), lambda w: w != "")
@@ -79,8 +84,7 @@ def keep_plain(text: Column | str) -> Column:
 
 
 def without_words(text: Column | str, words: tuple[str, ...]) -> Column:
-    drop = F.array(*map(F.lit, words))
-    return F.array_join(F.filter(tokens(text), lambda w: ~F.array_contains(drop, w)), " ")
+    return F.array_join(F.filter(tokens(text), lambda w: ~w.isin(*words)), " ")
 
 
 def merge_et_al(sentences: Column) -> Column:

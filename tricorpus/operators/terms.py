@@ -82,6 +82,7 @@ def filter_with_corpus(rows: DataFrame, corpus: DataFrame, papers: DataFrame, sh
     """rows with `domain`, by term frequencies in corpus(order, text) and papers(key, text), for the triplets' own words.
 
     The first `prefix` of the corpus texts shorter than max_chars is counted, while its size in the scores is that of all of them."""
+    rows = cut(rows, "triplets")  # read for the vocabulary, the subjects and the result
     corpus = corpus.where(F.length("text") < max_chars)
     vocab = cut(vocabulary(rows), "vocabulary")  # both counts use it
     corpus_df = document_frequency(first_share(corpus, order, prefix), vocab, at_least, key=order)

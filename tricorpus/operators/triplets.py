@@ -22,6 +22,14 @@ def extract_triplets(sentences: DataFrame, model: plugins.Plugin = plugins.tripl
     return found.select(key, "pos", *(F.array_join(f"t.{r}", " ").alias(r) for r in ROLES))
 
 
+def _once(rows: DataFrame, new: dict[str, Column]) -> DataFrame:
+    """rows with the columns `new`, computed once a row: through a generator, as filters above plain projections would be pushed below them, each
+    with a copy of all the expressions it looks at."""
+    rest = [c for c in rows.columns if c not in new]
+    made = rows.select(*rest, F.inline(F.array(F.struct(*(v.alias(k) for k, v in new.items())))))
+    return made.select(*rows.columns, *(c for c in new if c not in rows.columns))
+
+
 def _drop(rows: DataFrame, when: Column, reason: str, mark: bool) -> DataFrame:
     when = F.coalesce(when, F.lit(True))
     if not mark:
@@ -31,7 +39,7 @@ def _drop(rows: DataFrame, when: Column, reason: str, mark: bool) -> DataFrame:
 
 
 def lower_case(rows: DataFrame) -> DataFrame:
-    return rows.withColumns({r: F.lower(r) for r in ROLES})
+    return _once(rows, {r: F.lower(r) for r in ROLES})
 
 
 def filter_length(rows: DataFrame, most: int = 6, mark: bool = False) -> DataFrame:
@@ -42,7 +50,7 @@ def filter_length(rows: DataFrame, most: int = 6, mark: bool = False) -> DataFra
 def remove_stop_words(rows: DataFrame, mark: bool = False) -> DataFrame:
     """Stop words out of subject and object, light verbs out of verbs of several words; drops triplets left without subject or object."""
     verb = F.when(T.n_tokens("verb") > 1, T.without_words("verb", LIGHT_VERBS)).otherwise(F.col("verb"))
-    out = rows.withColumns({"subject": T.without_words("subject", STOP_WORDS), "verb": verb, "object": T.without_words("object", STOP_WORDS)})
+    out = _once(rows, {"subject": T.without_words("subject", STOP_WORDS), "verb": verb, "object": T.without_words("object", STOP_WORDS)})
     return _drop(out, (F.col("subject") == "") | (F.col("object") == ""), "stop words", mark)
 
 
@@ -66,24 +74,22 @@ def with_allowed(tags: Column, allowed: tuple[str, ...]) -> Column:
 
 def filter_tags(rows: DataFrame, model: plugins.Plugin = plugins.pos_tags, mark: bool = False) -> DataFrame:
     """Drops triplets whose subject or object has no allowed tag; of the others' subject and object, only words with one stay."""
-    tagged = rows.withColumns({"__s": model(F.col("subject")), "__o": model(F.col("object"))})
-    fault = tag_fault(F.col("__s"), F.col("__o"))
-    out = tagged.withColumn("__fault", fault)
-    out = _drop(out, F.col("__fault").isNotNull(), "tags", mark)
+    tagged = _once(rows, {"__s": model(F.col("subject")), "__o": model(F.col("object"))})
+    out = _drop(tagged.withColumn("__fault", tag_fault(F.col("__s"), F.col("__o"))), F.col("__fault").isNotNull(), "tags", mark)
     changed = {"subject": with_allowed(F.col("__s"), SUBJECT_TAGS), "object": with_allowed(F.col("__o"), OBJECT_TAGS)}
     return out.withColumns({k: F.when(F.col("__fault").isNull(), v).otherwise(F.col(k)) for k, v in changed.items()}).drop("__s", "__o", "__fault")
 
 
 def lemmatize(rows: DataFrame, model: plugins.Plugin = plugins.lemma) -> DataFrame:
     """Each word's lemma, verbs' by the same rules."""
-    return rows.withColumns({r: F.array_join(F.transform(T.tokens(r), model), " ") for r in ROLES})
+    return _once(rows, {r: F.array_join(F.transform(T.tokens(r), model), " ") for r in ROLES})
 
 
 def clean_up(rows: DataFrame, mark: bool = False) -> DataFrame:
     """Words of one or two characters out of subject and object; drops triplets whose subject or object is then shorter than three
     characters or whose verb is empty; runs of spaces become one."""
     long = lambda r: F.array_join(F.filter(T.tokens(r), lambda w: F.length(w) > 2), " ")
-    out = rows.withColumns({"subject": long("subject"), "object": long("object")})
+    out = _once(rows, {"subject": long("subject"), "object": long("object")})
     out = _drop(out, (F.length("subject") < 3) | (F.length("object") < 3) | (F.length("verb") < 1), "short", mark)
     return out.withColumns({r: F.regexp_replace(r, " +", " ") for r in ROLES})
 

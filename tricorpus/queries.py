@@ -439,14 +439,19 @@ def background(spark, d):
     return table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
 
 
-def _dfs(spark, d):
-    vocab = cut(terms.vocabulary(normal(spark, d)), "vocabulary")
+def _dfs(spark, d, rows=None):
+    vocab = cut(terms.vocabulary(normal(spark, d) if rows is None else rows), "vocabulary")
     texts = corpus.shorter_than(background(spark, d), 30_000)
     return terms.document_frequency(terms.first_share(texts, "id", PREFIX), vocab, 2, key="id"), terms.document_frequency(papers(spark, d), vocab, 5, key="doc_id")
 
 
-def _scores(spark, d):
-    return terms.term_scores(*_dfs(spark, d), background(spark, d).where(F.length("text") < 30_000).count(), papers(spark, d).count())
+def _scores(spark, d, rows=None):
+    return terms.term_scores(*_dfs(spark, d, rows), background(spark, d).where(F.length("text") < 30_000).count(), papers(spark, d).count())
+
+
+def _flags(spark, d):
+    rows = cut(normal(spark, d), "triplets")
+    return terms.domain_flags(rows, _scores(spark, d, rows), SHARE)
 
 
 @query(f"with {TERMS_SQL} select term from vocab")
@@ -489,12 +494,12 @@ def term_cut(spark, d):
 
 @query(f"with {DOMAIN_SQL} select {ROW} from cl where subject in (select subject from good)")
 def domain_filter(spark, d):
-    return terms.domain_flags(normal(spark, d), _scores(spark, d), SHARE).where("domain").drop("domain")
+    return _flags(spark, d).where("domain").drop("domain")
 
 
 @query(f"with {DOMAIN_SQL} select {ROW} from cl where subject not in (select subject from good)")
 def domain_removed(spark, d):
-    return terms.domain_flags(normal(spark, d), _scores(spark, d), SHARE).where("not domain").drop("domain")
+    return _flags(spark, d).where("not domain").drop("domain")
 
 
 @query(f"with {CLEAN_SQL}, {_df_sql('g', 'papers', 'doc_id', 'text', 6, False)} select {ROW} from cl left join g on g.term = cl.subject where coalesce(g.df, 0) < 5")
