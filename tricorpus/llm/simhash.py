@@ -12,7 +12,7 @@ are never paired at large, and no link between different texts is lost. A bucket
 
 Nulls: a null text has no words and fingerprint zero, linked like any other; a null doc_id counts as greater than any other
 and is null in the result. Texts with fewer than `k` words have one shingle, the whole sequence. Repeated rows give
-repeated result rows in one component. An empty table gives an empty result. Columns other than id and text are not read.
+repeated result rows in one component; rows with one doc_id and different texts are linked by their fingerprints alone. An empty table gives an empty result. Columns other than id and text are not read.
 """
 
 from __future__ import annotations
@@ -84,17 +84,17 @@ def segments(distance: int) -> list[tuple[int, int]]:
 
 
 def variants(nodes: DataFrame, distance: int) -> DataFrame:
-    """(key, fp, node): each fingerprint under its 64 one-wildcard segment variants."""
+    """(key, fp): each fingerprint under its 64 one-wildcard segment variants."""
     keys = []
     for first, bits in segments(distance):
         part = F.shiftrightunsigned("fp", first).bitwiseAND(F.lit((1 << bits) - 1 if bits < 64 else -1).cast("long"))
         for i in range(bits):
             rest = part.bitwiseAND(F.lit(~(1 << i) if i < 63 else 2**63 - 1).cast("long"))
             keys.append(rest.bitwiseOR(F.lit((first + i) << 56).cast("long")) if bits <= 56 else F.xxhash64(F.lit(first + i), rest))
-    return nodes.select(F.explode(F.array(*keys)).alias("key"), "fp", "node")
+    return nodes.select(F.explode(F.array(*keys)).alias("key"), "fp")
 
 
-def _forest(fp: np.ndarray, node: np.ndarray, distance: int, split: bool = True) -> list[tuple[np.ndarray, np.ndarray]]:
+def _forest(fp: np.ndarray, distance: int, split: bool = True) -> list[tuple[np.ndarray, np.ndarray]]:
     """Links that connect what the links within `distance` among these fingerprints connect."""
     n = len(fp)
     if n > BLOCK and split:  # one of distance + 1 parts of the whole is equal in both ends of a link
@@ -105,10 +105,10 @@ def _forest(fp: np.ndarray, node: np.ndarray, distance: int, split: bool = True)
             order = np.argsort(part, kind="stable")
             groups = np.split(order, np.flatnonzero(np.diff(part[order])) + 1)
             if len(groups) == 1:
-                return _forest(fp, node, distance, False)
+                return _forest(fp, distance, False)
             for group in groups:
                 if len(group) > 1:
-                    out += _forest(fp[group], node[group], distance, False)
+                    out += _forest(fp[group], distance, False)
         return out
     label, changed = np.arange(n), True
     while changed:  # least label among the linked, a block of rows at a time, until nothing moves
@@ -120,14 +120,14 @@ def _forest(fp: np.ndarray, node: np.ndarray, distance: int, split: bool = True)
             changed |= bool((new < label[a:b]).any())
             label[a:b] = new
     own = np.flatnonzero(label != np.arange(n))
-    return [(node[own], node[label[own]])]
+    return [(fp[own], fp[label[own]])]
 
 
 def bucket_links(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.RecordBatch]:
-    """(a, b) links from (key, fp, node) rows in key order; a bucket may span batches."""
-    rest: list[np.ndarray] = [np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)]
+    """(a, b) links between fingerprints from (key, fp) rows in key order; a bucket may span batches."""
+    rest: list[np.ndarray] = [np.zeros(0, np.int64), np.zeros(0, np.uint64)]
 
-    def links(key: np.ndarray, fp: np.ndarray, node: np.ndarray) -> pa.RecordBatch | None:
+    def links(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch | None:
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         size = np.diff(np.append(first, len(key)))
         left, right = [], []
@@ -135,19 +135,19 @@ def bucket_links(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[p
         for lag in range(1, min(SMALL, int(size.max()))):
             i = np.flatnonzero((key[lag:] == key[:-lag]) & (run[lag:] <= SMALL))
             i = i[np.bitwise_count(fp[i] ^ fp[i + lag]) <= distance]
-            left.append(node[i])
-            right.append(node[i + lag])
+            left.append(fp[i])
+            right.append(fp[i + lag])
         for a, n in zip(first[size > SMALL], size[size > SMALL]):
-            for x, y in _forest(fp[a : a + n], node[a : a + n], distance):
+            for x, y in _forest(fp[a : a + n], distance):
                 left.append(x)
                 right.append(y)
         if not left or not sum(map(len, left)):
             return None
-        pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], axis=1), axis=0)
+        pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], axis=1).view(np.int64), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
     for batch in batches:
-        new = [batch.column("key").to_numpy(), batch.column("fp").to_numpy().view(np.uint64), batch.column("node").to_numpy()]
+        new = [batch.column("key").to_numpy(), batch.column("fp").to_numpy().view(np.uint64)]
         rows = [np.concatenate(x) for x in zip(rest, new)]
         key = rows[0]
         whole = int(np.searchsorted(key, key[-1], side="left")) if len(key) else 0
@@ -160,12 +160,12 @@ def bucket_links(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[p
 
 def components(prints: DataFrame, distance: int = 4) -> DataFrame:
     """(doc_id, fp, component_id) for prints(doc_id, fp); component_id is the least doc_id of those linked, directly or not."""
-    nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
+    nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     ordered = variants(nodes, distance).repartition("key").sortWithinPartitions("key")
     links = ordered.mapInArrow(lambda batches: bucket_links(batches, distance), "a long, b long")
-    found = connected_components(links)
-    named = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    found = cut(nodes.join(connected_components(links).withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component")), "named")
+    least = found.groupBy("component").agg(F.min("least").alias("component_id"))
+    return prints.join(found.join(least, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame, k: int = 4, distance: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -177,11 +177,11 @@ def near_duplicates(docs: DataFrame, k: int = 4, distance: int = 4, id_col: str
 
 def keep_first(docs: DataFrame, k: int = 4, distance: int = 4) -> DataFrame:
     """The rows of docs(doc_id, text, ...) with the least doc_id of each component, with all their columns. Of rows that share that
-    doc_id, all whose text has a fingerprint of the component stay if their texts differ, and one if they are equal rows."""
+    doc_id, those with different texts all stay, and one of those with the same text."""
     found = components(cut(fingerprints(plain_docs(docs), k), "fingerprints"), distance)
     first = found.where("doc_id = component_id").select(F.col("doc_id").alias("__first")).distinct()
     kept = docs.join(first, F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == first["__first"], "left_semi")
-    return kept.dropDuplicates() if found.groupBy("doc_id").count().where("count > 1").take(1) else kept
+    return kept.dropDuplicates(["doc_id", "text"]) if found.groupBy("doc_id").count().where("count > 1").take(1) else kept
 
 
 def brute_force(rows: list[tuple[int | None, str | None]], k: int = 4, distance: int = 4) -> list[tuple]:
