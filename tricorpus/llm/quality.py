@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RollingHash, WordHashes, byte_texts, positions, row_slices
+from .common import RollingHash, WordHashes, byte_texts, cut, positions, row_slices
 
 STRIP = b".,;:!?\"'()"
 SPACE = [0x20, 9, 10, 11, 12, 13]
@@ -54,46 +54,70 @@ def _byte_counts(text: bytes) -> np.ndarray:
     return np.bincount(np.frombuffer(text, np.uint8), minlength=256)
 
 
-def _word_counts(words: list[bytes]) -> Counter:
+def _word_counts(words: list[bytes]) -> dict[bytes, int]:
     """Counts of words in lower case (A-Z) without marks at their ends."""
-    out: Counter = Counter()
+    out: dict[bytes, int] = {}
     for w, n in Counter(words).items():
-        out[w.strip(STRIP)] += n
+        w = w.strip(STRIP)
+        out[w] = out.get(w, 0) + n
     return out
 
 
+class Places(dict):
+    """A word as it stands to the place of the common word that it is, remembered; all others have the last place."""
+
+    limit = 500_000
+
+    def __init__(self, common: dict[bytes, int]) -> None:
+        self.common = common
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.limit:
+            self.clear()
+        self[word] = at = self.common.get(word.lower().strip(STRIP), len(self.common))
+        return at
+
+    def counts(self, words: list[bytes]) -> np.ndarray:
+        return np.bincount(np.fromiter(map(self.__getitem__, words), np.int64, len(words)), minlength=len(self.common) + 1)
+
+
 def reference_counts(docs: DataFrame, limits: Limits) -> DataFrame:
     """(lang, kind, item, docs, ppm) over docs(lang, text): how many documents have the item, and the sum of its shares."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n: Counter = Counter()
-        ppm: Counter = Counter()
+        one = 1 << 40  # a count of documents above 40 bits of shares, which hold those of a million documents
+        sums: dict[tuple[str, str], dict[bytes, int]] = {}
+        most = limit = 200_000
 
         def out() -> pa.RecordBatch:
-            keys = list(n)
+            keys = [(lang, kind, w, v) for (lang, kind), of in sums.items() for w, v in of.items()]
             cols = [pa.array([k[i] for k in keys], pa.string()) for i in range(2)] + [pa.array([k[2] for k in keys], pa.binary()).cast(pa.string())]
-            batch = pa.RecordBatch.from_arrays([*cols, pa.array([n[k] for k in keys], pa.int64()), pa.array([ppm[k] for k in keys], pa.int64())], ["lang", "kind", "item", "docs", "ppm"])
-            n.clear()
-            ppm.clear()
+            batch = pa.RecordBatch.from_arrays([*cols, pa.array([k[3] // one for k in keys], pa.int64()), pa.array([k[3] % one for k in keys], pa.int64())], ["lang", "kind", "item", "docs", "ppm"])
+            sums.clear()
             return batch
 
+        done = 0
         for batch in row_slices(batches):
             for lang, text in zip(batch.column("lang").to_pylist(), byte_texts(batch)):
                 words = text.lower().split()
                 if len(words) < limits.min_words:
                     continue
-                n[lang, "docs", b""] += 1
+                done += 1
+                of = sums.setdefault((lang, "docs"), {})
+                of[b""] = of.get(b"", 0) + one
                 classes = _byte_counts(text) @ _TO_CLASS
+                of = sums.setdefault((lang, "class"), {})
                 for i, c in enumerate((classes[:CLASSES] * MILLION // classes[:CLASSES].sum()).tolist()):
-                    n[lang, "class", b"%d" % i] += 1
-                    ppm[lang, "class", b"%d" % i] += c
+                    k = b"%d" % i
+                    of[k] = of.get(k, 0) + one + c
+                of = sums.setdefault((lang, "word"), {})
+                get, size = of.get, len(words)
                 for w, c in _word_counts(words).items():
-                    k = lang, "word", w
-                    n[k] += 1
-                    ppm[k] += c * MILLION // len(words)
-            if len(n) > 200_000:
+                    of[w] = get(w, 0) + one + c * MILLION // size
+            if done > most or sum(map(len, sums.values())) > limit:
                 yield out()
-        if n:
+                done = 0
+        if sums:
             yield out()
 
     rows = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), "text").mapInArrow(run, "lang string, kind string, item string, docs long, ppm long")
@@ -102,7 +126,7 @@ def reference_counts(docs: DataFrame, limits: Limits) -> DataFrame:
 
 def language_references(docs: DataFrame, limits: Limits) -> dict[str, tuple[np.ndarray, dict[bytes, int], np.ndarray]]:
     """By language: class shares, places of the common words, their shares and last that of all others. Bounded as told above."""
-    counts = reference_counts(docs, limits)
+    counts = cut(reference_counts(docs, limits), "references")  # read twice below
     share = F.lit(limits.common_share)
     of = counts.where("kind = 'docs'").select("lang", F.col("docs").alias("n"))
     picked = counts.where("kind <> 'docs'").join(of, "lang").where((F.col("kind") == "class") | (F.col("docs") >= share * F.col("n")))
@@ -168,6 +192,7 @@ def judge(docs: DataFrame, references: dict, limits: Limits, carry: list[str], t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, rolling = WordHashes(), RollingHash(0xA0761D6478BD642F)
+        places = {lang: Places(place) for lang, (_, place, _) in references.items()}
         for batch in row_slices(batches, "__text"):
             texts = byte_texts(batch, "__text")
             lists = [x.split() for x in texts]
@@ -182,14 +207,9 @@ def judge(docs: DataFrame, references: dict, limits: Limits, carry: list[str], t
                 if lens[i] >= limits.min_words and lang in references:
                     by_lang.setdefault(lang, []).append(i)
             for lang, rows in by_lang.items():
-                shares, place, words = references[lang]
+                shares, _, words = references[lang]
                 js[0, rows] = js_distance(classes[rows], shares)
-                found = np.zeros((len(rows), len(words)))
-                for k, i in enumerate(rows):
-                    for w, c in _word_counts(texts[i].lower().split()).items():
-                        if (j := place.get(w)) is not None:
-                            found[k, j] = c
-                    found[k, -1] = lens[i] - found[k].sum()
+                found = np.stack([places[lang].counts(lists[i]) for i in rows])
                 js[1, rows] = js_distance(found, words)
             root = np.sqrt(np.maximum(lens, 1))
             failed = (lens < 10) | (100 * repeats > 20 * lens)
