@@ -65,5 +65,6 @@ def components(edges: DataFrame) -> DataFrame:
         now = cut(small, "stars")
         state = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
         if state == known:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            found = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            return found.union(now.select("v", "v").distinct())  # those that name a component are in it
         known = state

@@ -22,7 +22,7 @@ def file_id(name: Column | str) -> Column:
 
 
 def file_version(name: Column | str) -> Column:
-    return F.regexp_extract(T.col(name), FILE_NAME, 2).cast("int")
+    return F.regexp_extract(T.col(name), FILE_NAME, 2).try_cast("int")  # null for names of another form
 
 
 def papers(spark: SparkSession, path: str, pattern: str = "*.pdf") -> DataFrame:
