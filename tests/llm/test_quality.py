@@ -45,6 +45,23 @@ def test_divergent_documents_go_and_clean_ones_stay(spark):
     assert kept[200]
 
 
+def test_a_small_language_of_a_large_corpus_is_judged(spark):
+    from pyspark.sql import functions as F
+
+    r = random.Random(2)
+    vocabulary = ["".join(r.choice("etaoinshrdlu") for _ in range(r.randint(2, 8))) for _ in range(500)]
+    clean = [" ".join(r.choices(vocabulary, [1 / (k + 1) for k in range(500)], k=200)) for _ in range(33)]
+    odd = [" ".join(f"#{r.randrange(10**6)}|" for _ in range(200)) for _ in range(2)]
+    small = [(i, t, lang) for n, lang in enumerate(("xx", "yy")) for i, t in enumerate(clean[:28] + odd, 100 * n)]
+    few = [(300 + i, odd[i % 2], "zz") for i in range(3)]  # under min_docs
+    large = spark.range(1000, 33_000).select("id", F.element_at(F.array(*map(F.lit, clean)), (F.col("id") % 33 + 1).cast("int")), F.lit("en"))
+    df = spark.createDataFrame(small + few, "doc_id long, text string, lang string").union(large)
+    kept = {x.doc_id: x.kept for x in quality.quality(df).where("doc_id < 1000").collect()}
+    assert len(kept) == 63
+    assert {i for i, k in kept.items() if not k} == {28, 29, 128, 129}
+    assert quality.keep_good(df).count() == 32_000 + 59
+
+
 def test_js_distance():
     import numpy as np
 

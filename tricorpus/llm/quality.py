@@ -4,8 +4,9 @@ Each language has two reference histograms, both means over its documents of at
 million so that sums don't depend on order: the shares of character classes, and the shares of the language's common words
 (those in at least `common_share` of its documents) with all other words as one. A document whose Jensen-Shannon distance
 to its language's reference passes a limit is rejected. Guards: documents of under `min_words` words are not judged by
-divergence, nor are languages with fewer than `min_docs` documents or under a thousandth of all (so at most a thousand
-references of at most `max_common` words exist, which bounds what is sent to the executors).
+divergence, nor are languages with fewer than `min_docs` documents. The references of languages with a thousandth of all documents
+or more (so at most a thousand, of at most `max_common` words) are sent to the executors; those of smaller languages, however many,
+are joined to their documents.
 
 The base rule rejects documents of fewer than 10 words, and those with over a fifth of their words in repeated 5-word windows.
 
@@ -124,30 +125,48 @@ def reference_counts(docs: DataFrame, limits: Limits) -> DataFrame:
     return rows.groupBy("lang", "kind", "item").agg(F.sum("docs").alias("docs"), F.sum("ppm").alias("ppm"))
 
 
-def language_references(docs: DataFrame, limits: Limits) -> dict[str, tuple[np.ndarray, dict[bytes, int], np.ndarray]]:
-    """By language: class shares, places of the common words, their shares and last that of all others. Bounded as told above."""
-    counts = cut(reference_counts(docs, limits), "references")  # read twice below
+Reference = tuple[np.ndarray, dict[bytes, int], np.ndarray]
+
+
+def _reference(n: int, items: list, limits: Limits) -> Reference:
+    """Class shares, places of the common words, their shares and last that of all others, from a language's n and (kind, item, docs, ppm)."""
+    chars = np.zeros(CLASSES)
+    for kind, item, _, ppm in items:
+        if kind == "class":
+            chars[int(item)] = ppm // n
+    # the words that pass number at most (mean distinct words of a document) / common_share in each language
+    common = sorted((r for r in items if r[0] == "word"), key=lambda r: (-r[2], r[1]))[: limits.max_common]
+    words = np.array([r[3] // n for r in common], float)
+    return chars, {r[1].encode(): i for i, r in enumerate(common)}, np.append(words, max(0, MILLION - words.sum()))
+
+
+def language_references(docs: DataFrame, limits: Limits) -> tuple[dict[str, Reference], DataFrame | None]:
+    """References by language, and a table (__of, __chars, __items, __words) of those of languages under a thousandth, if there are any."""
+    counts = cut(reference_counts(docs, limits), "references")  # read several times below
     share = F.lit(limits.common_share)
-    of = counts.where("kind = 'docs'").select("lang", F.col("docs").alias("n"))
+    of = counts.where("kind = 'docs'").select("lang", F.col("docs").alias("n")).where(F.col("n") >= limits.min_docs)
+    total, least = of.agg(F.sum("n"), F.min("n")).first()
+    if not total:
+        return {}, None
     picked = counts.where("kind <> 'docs'").join(of, "lang").where((F.col("kind") == "class") | (F.col("docs") >= share * F.col("n")))
     rows: dict[str, list] = {}
-    # the words that pass number at most (mean distinct words of a document) / common_share in each language
-    for r in picked.where(F.col("n") >= limits.min_docs).toLocalIterator():
-        rows.setdefault(r.lang, []).append(r)
-    total = sum(r[0].n for r in rows.values())
-    out = {}
-    for lang, items in rows.items():
-        n = items[0].n
-        if 1000 * n < total:
-            continue
-        chars = np.zeros(CLASSES)
-        for r in items:
-            if r.kind == "class":
-                chars[int(r.item)] = r.ppm // n
-        common = sorted((r for r in items if r.kind == "word"), key=lambda r: (-r.docs, r.item))[: limits.max_common]
-        words = np.array([r.ppm // n for r in common], float)
-        out[lang] = chars, {r.item.encode(): i for i, r in enumerate(common)}, np.append(words, max(0, MILLION - words.sum()))
-    return out
+    size: dict[str, int] = {}
+    for r in picked.where(1000 * F.col("n") >= total).toLocalIterator():
+        rows.setdefault(r.lang, []).append((r.kind, r.item, r.docs, r.ppm))
+        size[r.lang] = r.n
+    out = {lang: _reference(size[lang], items, limits) for lang, items in rows.items()}
+    if 1000 * least >= total:
+        return out, None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_reference(n, [tuple(x.values()) for x in items], limits) for n, items in zip(batch.column("n").to_pylist(), batch.column("items").to_pylist())]
+            cols = [[x[0].tolist() for x in found], [[w.decode() for w in x[1]] for x in found], [x[2].tolist() for x in found]]
+            kinds = [pa.list_(pa.float64()), pa.list_(pa.string()), pa.list_(pa.float64())]
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), *map(pa.array, cols, kinds)], ["__of", "__chars", "__items", "__words"])
+
+    small = picked.where(1000 * F.col("n") < total).groupBy("lang", "n").agg(F.collect_list(F.struct("kind", "item", "docs", "ppm")).alias("items"))
+    return out, cut(small.mapInArrow(run, "__of string, __chars array<double>, __items array<string>, __words array<double>"), "small-references")
 
 
 def js_distance(counts: np.ndarray, reference: np.ndarray) -> np.ndarray:
@@ -185,14 +204,15 @@ def repeat_words(lists: list[list[bytes]], lens: np.ndarray, hashes: WordHashes,
 RESULT = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, js_chars double, js_words double"
 
 
-def judge(docs: DataFrame, references: dict, limits: Limits, carry: list[str], text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The carried columns of each row with RESULT after them."""
+def judge(docs: DataFrame, references: dict[str, Reference], small: DataFrame | None, limits: Limits, carry: list[str], text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The carried columns of each row with RESULT after them; small: the table of references that are not in `references`."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema)
     inner = docs.select(*carry, F.coalesce(F.col(lang_col), F.lit("")).alias("__lang"), F.col(text_col).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, rolling = WordHashes(), RollingHash(0xA0761D6478BD642F)
         places = {lang: Places(place) for lang, (_, place, _) in references.items()}
+        joined: dict[str, tuple[Reference, Places]] = {}
         for batch in row_slices(batches, "__text"):
             texts = byte_texts(batch, "__text")
             lists = [x.split() for x in texts]
@@ -204,12 +224,21 @@ def judge(docs: DataFrame, references: dict, limits: Limits, carry: list[str], t
             js = np.full((2, len(texts)), np.nan)
             by_lang: dict[str, list[int]] = {}
             for i, lang in enumerate(batch.column("__lang").to_pylist()):
-                if lens[i] >= limits.min_words and lang in references:
+                if lens[i] >= limits.min_words and (lang in references or ("__of" in batch.schema.names and batch.column("__of")[i].is_valid)):
                     by_lang.setdefault(lang, []).append(i)
             for lang, rows in by_lang.items():
-                shares, _, words = references[lang]
+                if lang in references:
+                    (shares, _, words), place = references[lang], places[lang]
+                else:
+                    if lang not in joined:
+                        if len(joined) >= 100:
+                            joined.clear()
+                        chars_of, items, words_of = (batch.column(c)[rows[0]].as_py() for c in ("__chars", "__items", "__words"))
+                        at = {w.encode(): n for n, w in enumerate(items)}
+                        joined[lang] = (np.array(chars_of), at, np.array(words_of)), Places(at)
+                    (shares, _, words), place = joined[lang]
                 js[0, rows] = js_distance(classes[rows], shares)
-                found = np.stack([places[lang].counts(lists[i]) for i in rows])
+                found = np.stack([place.counts(lists[i]) for i in rows])
                 js[1, rows] = js_distance(found, words)
             root = np.sqrt(np.maximum(lens, 1))
             failed = (lens < 10) | (100 * repeats > 20 * lens)
@@ -219,13 +248,18 @@ def judge(docs: DataFrame, references: dict, limits: Limits, carry: list[str], t
             arrays = [batch.column(c) for c in carry] + [pa.array(c) for c in cols] + [pa.array(np.round(x, 9), mask=np.isnan(x)) for x in js]
             yield pa.RecordBatch.from_arrays(arrays, [*carry, *(x.split()[0] for x in RESULT.split(", "))])
 
-    return inner.mapInArrow(run, ", ".join(filter(None, [schema, RESULT])))
+    result = ", ".join(filter(None, [schema, RESULT]))
+    if small is None:
+        return inner.mapInArrow(run, result)
+    large = F.col("__lang").isin(list(references))
+    rest = inner.where(~large).join(small, F.col("__lang") == F.col("__of"), "left")
+    return inner.where(large).mapInArrow(run, result).union(rest.mapInArrow(run, result))
 
 
 def quality(docs: DataFrame, limits: Limits = Limits(), carry: list[str] | None = None, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """docs' carried columns (doc_id by default) with counts, divergences and the verdict `kept`."""
-    references = language_references(docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")), limits)
-    return judge(docs, references, limits, ["doc_id"] if carry is None else carry, text_col, lang_col)
+    references, small = language_references(docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")), limits)
+    return judge(docs, references, small, limits, ["doc_id"] if carry is None else carry, text_col, lang_col)
 
 
 def keep_good(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
