@@ -59,6 +59,24 @@ def test_passages_hold_all_long_matches_and_only_matches(spark):
         assert cuts[i] <= {k + m for k in range(len(w) - n + 1) if tuple(w[k : k + n]) in less for m in range(n)}
 
 
+def test_cuts_hold_every_long_match_with_a_smaller_doc_id(spark):
+    r = random.Random(15)
+    passages = [prose(r, r.randint(50, 70), 3000) for _ in range(8)]
+    texts = {i: sum((prose(r, r.randint(0, 20), 3000) + r.choice(passages) for _ in range(r.randint(1, 3))), []) + prose(r, 5, 3000) for i in range(40)}
+    base = prose(r, 200, 3000)
+    texts |= {40: base[:90], 41: prose(r, 5, 3000) + base[75:150], 42: base[30:82] + prose(r, 8, 3000), 43: prose(r, 9, 3000) + base + prose(r, 9, 3000), 44: base[60:190]}
+    found = suffix_dedup.repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string")).collect()
+    cuts = {i: set() for i in texts}
+    for f in found:
+        mine = {k for c in f.cuts for k in range(c.a, c.b)}
+        assert mine <= set(range(f.start_word, f.end_word))
+        cuts[f.doc_id] |= mine
+    for i, w in texts.items():
+        for n, holds in ((50, lambda must, have: must <= have), (50 - suffix_dedup.GAP + 1, lambda may, have: have <= may)):
+            less = set().union(*(windows(x, n) for j, x in texts.items() if j < i))
+            assert holds({k + m for k in range(len(w) - n + 1) if tuple(w[k : k + n]) in less for m in range(n)}, cuts[i]), (i, n)
+
+
 def test_passages_of_messy_rows(docs, empty):
     found = {(r.doc_id, r.start_word, r.end_word) for r in suffix_dedup.repeated_passages(docs).collect()}
     assert (11, 0, 120) in found and (None, 0, 120) in found and (5, 0, 80) in found

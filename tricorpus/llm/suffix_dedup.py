@@ -12,10 +12,13 @@ shares `min_words` - GAP + 1 words to the right (its prefix). Steps:
 3. the suffixes, one of each kind, are sorted over all machines by prefix and following words (and by prefix and preceding words, backwards), and
    neighbours compared: the longest common prefix with a neighbour is the longest with any suffix. Partitions are cut by range, so one frequent
    passage spreads over many; the rows at their edges are compared in a second, small pass;
-4. runs grow to the right by what their last suffix shares and to the left by what their first shares, and are merged.
+4. runs grow to the right by what their last suffix shares and to the left by what their first shares, and are merged;
+5. what may be cut, the prefixes that a smaller doc_id has, grows at its ends by what their suffixes share with a smaller doc_id: the least
+   doc_id of each first part of the following (preceding) words is counted for the suffixes at such ends alone.
 
 So every word of every run of `min_words` or more words that two documents share is inside a reported passage, and each
-reported passage is made of words in matches of at least `min_words` - GAP + 1 words with another document. Whole-text copies
+reported passage is made of words in matches of at least `min_words` - GAP + 1 words with another document. Likewise the cuts hold every
+word of a run of `min_words` that a smaller doc_id has, and only words in matches of that shorter length with one. Whole-text copies
 are one passage and take no part in steps 2 and 3.
 
 Result of repeated_passages, one row a passage: doc_id, start_word, end_word (exclusive), first_doc_id (least doc_id found in
@@ -95,8 +98,9 @@ def joined_spans(starts: np.ndarray, length: int) -> list[dict]:
 
 
 def contexts(docs: DataFrame, min_words: int) -> DataFrame:
-    """From docs(doc_id, text, at: [pos, prefix, first]): a row (side, prefix, near) for both sides of each shared suffix, and a row with
-    run = true for each run of them, with its first suffix's left side and its last suffix's right side."""
+    """From docs(doc_id, text, at: [pos, prefix, first]): a row (side, prefix, near) for both sides of each shared suffix (what = 0), a row
+    for each run of them with its first suffix's left side and its last suffix's right side (what = 1), and one for each suffix at `at` that is
+    less than GAP words from an end of the run's cuts, with the side of that end (what = 2)."""
     length = min_words - GAP + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,29 +121,39 @@ def contexts(docs: DataFrame, min_words: int) -> DataFrame:
                 first = np.array([a[2] for a in at], np.int64)
                 new = np.flatnonzero(np.concatenate([[True], pos[1:] > pos[:-1] + length]))
                 last = np.append(new[1:], n) - 1
-                near = np.concatenate([before, after, before[new], after[last]])
                 r = len(new)
-                size = 2 * n + 2 * r
                 late = first < doc  # these are in a smaller doc_id
+                of_run = np.repeat(np.arange(r), last - new + 1)
+                i = np.flatnonzero(late)
+                begins = np.concatenate([[True], (pos[i[1:]] > pos[i[:-1]] + length) | (of_run[i[1:]] != of_run[i[:-1]])])[: len(i)]
+                part = np.cumsum(begins) - 1
+                ends = np.append(np.flatnonzero(begins)[1:], len(i)) - 1
+                lo = i[pos[i] < pos[i[begins]][part] + GAP] if len(i) else i
+                hi = i[pos[i] > pos[i[ends]][part] - GAP] if len(i) else i
+                edge = np.concatenate([lo, hi])
+                near = np.concatenate([before, after, before[new], after[last], before[lo], after[hi]])
+                m = len(edge)
+                size = 2 * n + 2 * r + m
                 gone = [pos[a : b + 1][late[a : b + 1]] for a, b in zip(new, last)]
                 cuts = [joined_spans(g, length) for g in gone]
-                none = [None] * (2 * n)
+                none, rest = [None] * (2 * n), [None] * m
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.arange(size) >= 2 * n),
-                        pa.array(np.repeat([LEFT, RIGHT, LEFT, RIGHT], [n, n, r, r]).astype(np.int32)),
-                        pa.array(np.concatenate([prefix, prefix, prefix[new], prefix[last]])),
+                        pa.array(np.repeat([0, 1, 2], [2 * n, 2 * r, m]).astype(np.int32)),
+                        pa.array(np.repeat([LEFT, RIGHT, LEFT, RIGHT, LEFT, RIGHT], [n, n, r, r, len(lo), len(hi)]).astype(np.int32)),
+                        pa.array(np.concatenate([prefix, prefix, prefix[new], prefix[last], prefix[edge]])),
                         pa.FixedSizeListArray.from_arrays(pa.array(near.ravel()), GAP).cast(pa.list_(pa.int32())),
                         pa.array(np.full(size, doc, np.int64)),
-                        pa.array(none + np.concatenate([pos[new]] * 2).tolist(), pa.int32()),
-                        pa.array(none + np.concatenate([pos[last] + length] * 2).tolist(), pa.int32()),
-                        pa.array(none + [int(first[a : b + 1].min()) for a, b in zip(new, last)] * 2, pa.int64()),
-                        pa.array(none + cuts * 2, CUTS),
+                        pa.array(none + np.concatenate([pos[new], pos[new], pos[new][of_run[edge]]]).tolist(), pa.int32()),
+                        pa.array(none + np.concatenate([pos[last] + length] * 2).tolist() + rest, pa.int32()),
+                        pa.array(none + [int(first[a : b + 1].min()) for a, b in zip(new, last)] * 2 + rest, pa.int64()),
+                        pa.array(none + cuts * 2 + rest, CUTS),
+                        pa.array([None] * (size - m) + pos[edge].tolist(), pa.int32()),
                     ],
-                    ["run", "side", "prefix", "near", "doc_id", "start", "stop", "first", "cuts"],
+                    ["what", "side", "prefix", "near", "doc_id", "start", "stop", "first", "cuts", "at"],
                 )
 
-    return docs.mapInArrow(run, "run boolean, side int, prefix long, near array<int>, doc_id long, start int, stop int, first long, cuts array<struct<a:int,b:int>>")
+    return docs.mapInArrow(run, "what int, side int, prefix long, near array<int>, doc_id long, start int, stop int, first long, cuts array<struct<a:int,b:int>>, at int")
 
 
 def neighbour_lengths(kinds: DataFrame) -> DataFrame:
@@ -190,6 +204,28 @@ def neighbour_lengths(kinds: DataFrame) -> DataFrame:
     return found.drop("edge").union(across.drop("edge")).groupBy(*keys).agg(F.max("shared").alias("shared"))
 
 
+def grown_cuts(asked: DataFrame, kinds: DataFrame, min_words: int) -> DataFrame:
+    """(doc_id, start, pieces): for the suffixes asked(side, prefix, near, doc_id, start, at), the prefix at `at` with the words beside it that
+    some smaller doc_id has there too; kinds(side, prefix, near, least) as in repeated_passages."""
+    keys, length = ["side", "prefix", "near"], min_words - GAP + 1
+    some = cut(kinds.join(asked.select("side", "prefix").distinct(), ["side", "prefix"], "left_semi").select(*keys, "least"), "asked-kinds")
+
+    def parts(df: DataFrame) -> DataFrame:
+        """A row for each first part of `near` (n words of it, up to the text's end)."""
+        each = df.withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(GAP)))).where(F.element_at("near", F.col("n")) != 0)
+        return each.withColumn("part", F.xxhash64("side", "prefix", F.slice("near", F.lit(1), F.col("n"))))
+
+    least = parts(some).groupBy("part").agg(F.min("least").alias("one"), F.max("least").alias("last")).where("one < last").select("part", "one")
+    rows = cut(asked.join(some, keys), "asked")
+    alone = rows.where("doc_id = least").select(*keys, "least").distinct()  # all others share the whole of `near` with a smaller doc_id
+    found = parts(alone).join(cut(least, "least-of-parts"), "part").where("one < least").groupBy(*keys).agg(F.max("n").alias("n"))
+    whole = F.when(F.array_contains("near", 0), F.array_position("near", 0).cast("int") - 1).otherwise(GAP)
+    grown = rows.join(found, keys, "left").withColumn("n", F.when(F.col("doc_id") > F.col("least"), whole).otherwise(F.coalesce("n", F.lit(0))))
+    left, right = (F.when(F.col("side") == side, F.col("n")).otherwise(0) for side in (LEFT, RIGHT))
+    piece = F.struct((F.col("at") - left).alias("a"), (F.col("at") + length + right).alias("b"))
+    return grown.groupBy("doc_id", "start").agg(F.collect_set(piece).alias("pieces"))
+
+
 def repeated_passages(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, start_word, end_word, first_doc_id, cut_start, cut_end) of the passages that documents share."""
     if min_words < GRAM + GAP:
@@ -201,12 +237,16 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, id_col: str = "doc_i
     shared = cut(shared.join(copies, "doc_id", "left_anti"), "shared-suffixes")
     rows = cut(contexts(docs.join(shared, "doc_id").select("doc_id", "text", "at"), min_words), "contexts")
     keys = ["side", "prefix", "near"]
-    kinds = rows.where("not run").groupBy(*keys).agg((F.min("doc_id") < F.max("doc_id")).alias("several"))
-    lengths = neighbour_lengths(kinds)
-    grown = rows.where("run").drop("run").join(lengths, keys)
+    kinds = rows.where("what = 0").groupBy(*keys).agg((F.min("doc_id") < F.max("doc_id")).alias("several"), F.min("doc_id").alias("least"))
+    lengths = neighbour_lengths(kinds.drop("least"))
+    grown = rows.where("what = 1").join(lengths, keys)
     side = lambda n: F.max(F.when(F.col("side") == n, F.col("shared")))
     runs = grown.groupBy("doc_id", "start", "stop", "first", "cuts").agg(side(LEFT).alias("l"), side(RIGHT).alias("r"))
-    spans = runs.select("doc_id", F.struct((F.col("start") - F.col("l")).alias("a"), (F.col("stop") + F.col("r")).alias("b"), "first", "cuts").alias("s"))
+    pieces = grown_cuts(rows.where("what = 2").select(*keys, "doc_id", "start", "at"), kinds, min_words)
+    runs = runs.join(pieces, ["doc_id", "start"], "left").withColumn("cuts", F.concat("cuts", F.coalesce("pieces", F.expr("array()").cast("array<struct<a:int,b:int>>"))))
+    a = F.least(F.col("start") - F.col("l"), F.array_min("cuts.a"))
+    b = F.greatest(F.col("stop") + F.col("r"), F.array_max("cuts.b"))
+    spans = runs.select("doc_id", F.struct(a.alias("a"), b.alias("b"), "first", "cuts").alias("s"))
     passages = _merge(spans.groupBy("doc_id").agg(F.array_sort(F.collect_list("s")).alias("s"))).where(F.col("end_word") - F.col("start_word") >= min_words)
     firsts = copies.groupBy(F.col("first_doc_id").alias("doc_id")).agg(F.lit(None).cast("long").alias("first_doc_id"))
     n_words = F.size(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
