@@ -121,3 +121,10 @@ def test_without_labels(spark):
     docs, labels = labelled(spark)
     assert {r.score < 0.01 for r in toxicity.toxicity(docs, labels.where("false")).collect()} == {True}
     assert toxicity.toxicity(docs.where("false"), labels).count() == 0
+
+
+def test_redaction_takes_the_rest_of_spans_that_overlap_partly(spark):
+    text = "from 10.0.0.14 4111 1111 1111 1115 ok"
+    assert [s[0] for s in pii.base_spans(text)] == ["ip", "card"]
+    kept = pii.redact(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().text
+    assert kept == "from [ip][card] ok"

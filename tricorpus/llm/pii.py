@@ -350,8 +350,8 @@ def pii_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def redact(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
-    """docs with each span of its text replaced by its kind in brackets (earlier and longer spans first where they overlap), and the
-    length column, where there is one, set to the new length; null texts stay null. All other columns are as they were."""
+    """docs with each span of its text replaced by its kind in brackets (earlier and longer spans first where they overlap; a later
+    one's kind stands for the rest of it, if there is one), and the length column, where there is one, set to the new length; null texts stay null. All other columns are as they were."""
     field = train()
     own = {c: f"__c{i}" for i, c in enumerate(docs.columns)}
     safe, at = docs.toDF(*own.values()), own[text_col]
@@ -363,7 +363,7 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars")
             for (text, _, spans), valid in zip(find_all(byte_texts(batch, at), decoder), batch.column(at).is_valid().to_pylist()):
                 out, end = [], 0
                 for kind, a, b in sorted(spans, key=lambda s: (s[1], -s[2])):
-                    if a >= end:
+                    if b > end:  # what an earlier span has already taken is left out
                         out += [text[end:a], f"[{kind}]"]
                         end = b
                 texts.append("".join(out) + text[end:] if valid else None)
