@@ -31,6 +31,26 @@ def test_base_spans_equal_the_patterns():
         assert pii.base_spans(t) == plain_base(t), t
 
 
+def test_base_spans_look_at_long_runs_once():
+    import time
+
+    m = 10**6
+    began = time.thread_time()
+    for t in ("1" * m, "a" * m, "a" * m + "@", "a@" * (m // 2), "@" * m, "+1" + "(" * m, "1 " * (m // 2), "a." * (m // 2) + "@" + "b" * m, "1." * 3 + "1" * m):
+        assert not pii.base_spans(t)[1:]
+    assert time.thread_time() - began < 9
+    assert pii.base_spans("0" * 5000 + ".1.1.1") == [("ip", 0, 5006)] and pii.base_spans("9" * 5000 + ".1.1.1") == []
+    t = "a.b%" * 50_000 + "@x.y%c@d.e" + "z" * 9
+    assert pii.base_spans(t) == plain_base(t)[:2]
+
+
+def test_one_very_long_line_beside_many_short_ones():
+    decoder = pii.Decoder(pii.train())
+    lines = [[b"word"] * 200_000 + [b"ssn", b"123-45-6789"]] + [[b"ssn", b"123-45-6789"]] * 3000
+    found = dict(decoder.decode(lines))
+    assert len(found) == 3001 and found[0].astype(bool).sum() == 1 and found[0][-1]
+
+
 def test_field_labels_unseen_lines():
     """Held out: lines of another seed."""
     decoder = pii.Decoder(pii.train())

@@ -32,9 +32,12 @@ from .common import byte_texts, row_slices
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "secret", "id")
 LABELS = ("other", *KINDS)
+_LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _EMAIL_RUN = re.compile(r"[A-Za-z0-9._%+@-]+")
-_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+# A match starts where its first run of characters starts or where the last match ended, and no part gives characters back, so a run is looked at once.
+_EMAIL = re.compile(r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
+_EMAIL_NEXT = re.compile(r"(?<![A-Za-z0-9._%+-])" + _EMAIL.pattern)
+_IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -49,19 +52,29 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _run_start(text: str, at: int) -> int:
+    """Where the run of email characters that `at` is in begins."""
+    while at:
+        part = text[max(0, at - 64) : at]
+        rest = len(part.rstrip(_LOCAL + "@"))
+        at -= len(part) - rest
+        if rest:
+            break
+    return at
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """The base spans of a text, by kind as listed, then start."""
     out = []
-    if "@" in text:
-        at = -1
-        while (at := text.find("@", at + 1)) >= 0:
-            a = at  # the run of characters an email can have around this sign; no match reaches beyond it
-            while a and _EMAIL_RUN.match(text[a - 1]):
-                a -= 1
-            run = _EMAIL_RUN.match(text, a)
-            out += [("email", m.start(), m.end()) for m in _EMAIL.finditer(text, a, run.end())]
-            at = run.end() - 1
-    out += [("ip", m.start(), m.end()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+    at = text.find("@")
+    while at >= 0:
+        run = _EMAIL_RUN.match(text, _run_start(text, at))  # no match reaches beyond what an email can have around this sign
+        pos, end = run.span()
+        while m := _EMAIL.match(text, pos, end) or _EMAIL_NEXT.search(text, pos, end):
+            out.append(("email", *m.span()))
+            pos = m.end()
+        at = text.find("@", end)
+    out += [("ip", *m.span()) for m in _IP.finditer(text) if all(len(p) <= 3 and int(p or 0) <= 255 for p in (p.lstrip("0") for p in m[0].split(".")))]
     for m in _CARD.finditer(text):
         digits = m[0].replace(" ", "").replace("-", "")
         if 13 <= len(digits) <= 19 and luhn(digits):
@@ -273,15 +286,17 @@ class Decoder(dict):
                 e = e + through.max(axis=1)
             score[:k] = e
         out = []
-        labels = np.zeros((len(picked), T), np.int8)
+        labels = np.zeros(n, np.int8)  # of all words: a table of lines and places would grow with the longest line
         now = score.argmax(axis=1)
         for t in range(T - 1, -1, -1):
             k = int(np.searchsorted(-size, -t, side="left"))
-            labels[:k, t] = now[:k]
+            labels[first[picked[:k]] + t] = now[:k]
             if t:
                 now[:k] = back[t][np.arange(k), now[:k]]
-        for j in np.flatnonzero(labels.any(axis=1)):
-            out.append((int(picked[j]), labels[j, : size[j]]))
+        marked = np.zeros(n + 1, np.int64)
+        np.cumsum(labels != 0, out=marked[1:])
+        for j in picked[marked[first[picked] + lens[picked]] > marked[first[picked]]]:
+            out.append((int(j), labels[first[j] : first[j] + lens[j]]))
         return out
 
 
