@@ -6,9 +6,10 @@ differs in at most one bit. For each of the 64 bits, index the segment that hold
 differ in at most one bit share a variant. Fingerprints that share a variant are compared in full, and only links within
 `distance` survive. Equal fingerprints are one node, so copies never meet in a bucket.
 
-Buckets are streamed in key order. A small bucket gives its links; a larger one gives a spanning forest of its links, found block
-by block: past BLOCK members it is split by the other bits (of five parts of the rest, one is equal in both), so its members
-are never paired at large, and no link between different texts is lost. A bucket needs 16 bytes a distinct fingerprint.
+Buckets are streamed in key order. A small bucket gives its links; a larger one gives a spanning forest of its links: past BLOCK members
+it is split, again and again, by the bits in which its members differ (of distance + 1 parts of those, one is equal in both ends of a
+link), and what is connected already isn't looked at again, so its members are never paired at large, and no link between
+different texts is lost. A bucket needs some 40 bytes a distinct fingerprint.
 
 Nulls: a null text has no words and fingerprint zero, linked like any other; a null doc_id counts as greater than any other
 and is null in the result. Texts with fewer than `k` words have one shingle, the whole sequence. Repeated rows give
@@ -94,33 +95,94 @@ def variants(nodes: DataFrame, distance: int) -> DataFrame:
     return nodes.select(F.explode(F.array(*keys)).alias("key"), "fp")
 
 
-def _forest(fp: np.ndarray, distance: int, split: bool = True) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Links that connect what the links within `distance` among these fingerprints connect."""
-    n = len(fp)
-    if n > BLOCK and split:  # one of distance + 1 parts of the whole is equal in both ends of a link
-        out, parts = [], distance + 1
+def _root(parent: np.ndarray, i: int) -> int:
+    while parent[i] != i:
+        parent[i] = parent[parent[i]]
+        i = parent[i]
+    return i
+
+
+class Forest:
+    """Links that connect what the links within `distance` among distinct fingerprints connect; compared counts pairs looked at."""
+
+    def __init__(self, fp: np.ndarray, distance: int) -> None:
+        self.fp, self.distance, self.compared = fp, distance, 0
+        self.parent = np.arange(len(fp))
+        self.links: list[tuple[int, int]] = []
+        self.split(np.arange(len(fp)))
+
+    def split(self, rows: np.ndarray) -> None:
+        if len(rows) <= BLOCK:
+            return self.block(rows)
+        fp = self.fp[rows]
+        varying = int(np.bitwise_or.reduce(fp ^ fp[0]))
+        bits = [b for b in range(64) if varying >> b & 1]
+        parts = self.distance + 1
         for j in range(parts):
-            lo, hi = 64 * j // parts, 64 * (j + 1) // parts
-            part = (fp >> np.uint64(lo)) & np.uint64((1 << (hi - lo)) - 1)
+            if j and self.one_tree(rows):
+                return
+            # at least log2(BLOCK) bits vary, so a part has some unless the distance is that large
+            own = np.uint64(sum(1 << b for b in bits[len(bits) * j // parts : len(bits) * (j + 1) // parts]))
+            if not own:
+                return self.block(rows)
+            part = fp & own
             order = np.argsort(part, kind="stable")
-            groups = np.split(order, np.flatnonzero(np.diff(part[order])) + 1)
-            if len(groups) == 1:
-                return _forest(fp, distance, False)
-            for group in groups:
-                if len(group) > 1:
-                    out += _forest(fp[group], distance, False)
-        return out
-    label, changed = np.arange(n), True
-    while changed:  # least label among the linked, a block of rows at a time, until nothing moves
-        changed = False
-        for a in range(0, n, BLOCK):
-            b = min(n, a + BLOCK)
-            close = np.bitwise_count(fp[a:b, None] ^ fp[None, :]) <= distance
-            new = np.where(close, label[None, :], n).min(axis=1)
-            changed |= bool((new < label[a:b]).any())
-            label[a:b] = new
-    own = np.flatnonzero(label != np.arange(n))
-    return [(fp[own], fp[label[own]])]
+            edges = np.flatnonzero(np.diff(part[order])) + 1
+            first, last = np.concatenate([[0], edges]), np.append(edges, len(rows))
+            small = (last - first <= SMALL) & (last - first > 1)
+            self.runs(rows[order], first[small], last[small])
+            for a, b in zip(first[last - first > SMALL], last[last - first > SMALL]):
+                self.split(rows[order[a:b]])
+
+    def one_tree(self, rows: np.ndarray) -> bool:
+        up = self.parent[rows]
+        while ((root := self.parent[up]) != up).any():
+            up = root
+        self.parent[rows] = up
+        return bool((up == up[0]).all())
+
+    def runs(self, rows: np.ndarray, first: np.ndarray, last: np.ndarray) -> None:
+        """All pairs inside many short runs at once."""
+        if not len(first):
+            return
+        size = last - first
+        of = np.repeat(np.arange(len(first)), size)
+        own = rows[np.repeat(first - np.cumsum(size) + size, size) + np.arange(int(size.sum()))]
+        for lag in range(1, int(size.max())):
+            i = np.flatnonzero(of[lag:] == of[:-lag])
+            self.compared += len(i)
+            i = i[np.bitwise_count(self.fp[own[i]] ^ self.fp[own[i + lag]]) <= self.distance]
+            self.join(own[i], own[i + lag])
+
+    def block(self, rows: np.ndarray) -> None:
+        """Rows that aren't one tree yet, each with all others, a stretch of them at a time."""
+        if self.one_tree(rows):
+            return
+        fp = self.fp[rows]
+        for a in range(0, len(rows), BLOCK):
+            x, y = np.nonzero(np.bitwise_count(fp[a : a + BLOCK, None] ^ fp[None, :]) <= self.distance)
+            self.compared += len(fp[a : a + BLOCK]) * len(fp)
+            own = rows[x + a] != rows[y]
+            x, y = rows[x[own] + a], rows[y[own]]
+            while len(x):  # join the first open link of each row, then drop what that has connected
+                _, i = np.unique(x, return_index=True)
+                self.join(x[i], y[i])
+                self.one_tree(rows)
+                still = self.parent[x] != self.parent[y]
+                x, y = x[still], y[still]
+
+    def join(self, a: np.ndarray, b: np.ndarray) -> None:
+        for i, j in zip(a.tolist(), b.tolist()):
+            x, y = _root(self.parent, i), _root(self.parent, j)
+            if x != y:
+                self.parent[max(x, y)] = min(x, y)
+                self.links.append((i, j))
+
+
+def _forest(fp: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Both ends of the links of a Forest."""
+    links = np.array(Forest(fp, distance).links, np.int64).reshape(-1, 2)
+    return fp[links[:, 0]], fp[links[:, 1]]
 
 
 def bucket_links(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.RecordBatch]:
@@ -138,9 +200,9 @@ def bucket_links(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[p
             left.append(fp[i])
             right.append(fp[i + lag])
         for a, n in zip(first[size > SMALL], size[size > SMALL]):
-            for x, y in _forest(fp[a : a + n], distance):
-                left.append(x)
-                right.append(y)
+            x, y = _forest(fp[a : a + n], distance)
+            left.append(x)
+            right.append(y)
         if not left or not sum(map(len, left)):
             return None
         pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], axis=1).view(np.int64), axis=0)
