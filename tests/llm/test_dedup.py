@@ -127,6 +127,33 @@ def test_components_of_fingerprints_in_crowded_buckets(spark):
     assert [got[i] for i in range(len(fps))] == label
 
 
+def test_a_large_bucket_is_not_paired_at_large():
+    rng = np.random.default_rng(1)
+    for first, bits in simhash.segments(4):
+        own = np.uint64(((1 << bits) - 1) << first)
+        fps = np.unique(rng.integers(0, 2**64, 100_000, dtype=np.uint64, endpoint=False) & ~own)
+        assert simhash.Forest(fps, 4).compared < 0.02 * len(fps) ** 2
+
+
+def test_forest_connects_what_all_pairs_connect():
+    rng = np.random.default_rng(2)
+    for trial in range(6):
+        fps = rng.integers(0, 2**64, 15, dtype=np.uint64)[rng.integers(0, 15, 2500)]
+        for _ in range(trial + 1):
+            fps = fps ^ (np.uint64(1) << rng.integers(0, 24, len(fps)).astype(np.uint64))
+        fps = np.unique(fps)
+        label, last = np.arange(len(fps)), None
+        while last is None or (label != last).any():
+            last = label.copy()
+            for i in range(len(fps)):
+                near = np.bitwise_count(fps ^ fps[i]) <= 4
+                label[near] = label[near].min()
+        found = simhash.Forest(fps, 4)
+        found.one_tree(np.arange(len(fps)))
+        assert (found.parent == label).all()
+        assert all(int(fps[i] ^ fps[j]).bit_count() <= 4 for i, j in found.links)
+
+
 def test_keep_first_has_one_of_each_group(docs, empty):
     kept = simhash.keep_first(docs)
     assert kept.schema == docs.schema
@@ -134,3 +161,48 @@ def test_keep_first_has_one_of_each_group(docs, empty):
     assert 1 in ids and 11 not in ids and ids.count(15) == 1 and 19 not in ids
     assert simhash.keep_first(empty).count() == 0
     assert simhash.near_duplicates(empty).count() == 0
+
+
+def passages(df, **options):
+    return {(r.doc_id, r.start_word, r.end_word, r.first_doc_id, tuple(sorted((c.a, c.b) for c in r.cuts))) for r in suffix_dedup.repeated_passages(df, **options).collect()}
+
+
+def test_passages_of_messy_rows_equal_brute_force(docs, rows):
+    assert passages(docs) == suffix_dedup.brute_force(rows)
+
+
+def test_passages_of_random_texts_equal_brute_force(spark):
+    """Few words, so that matches branch, with copies, null ids, repeated ids and one passage that most rows hold."""
+    r = random.Random(31)
+    shared = [prose(r, r.randint(45, 75), 40) for _ in range(6)]
+    texts = [sum((prose(r, r.randint(0, 25), 40) + r.choice(shared)[r.randint(0, 9) :] for _ in range(r.randint(0, 3))), []) + prose(r, 6, 40) for _ in range(60)]
+    texts += [prose(r, r.randint(0, 9), 3000) + shared[0] + prose(r, r.randint(0, 9), 3000) for _ in range(80)] + [["again"] * 130, ["again"] * 90, ["x", "y"] * 60]
+    rows = [(k if r.random() < 0.8 else r.choice([None, 3, 50]), " ".join(t)) for k, t in enumerate(texts)]
+    rows += [(200 + k, r.choice(rows)[1]) for k in range(15)] + [r.choice(rows) for _ in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    assert passages(df) == suffix_dedup.brute_force(rows)
+    got = [(x.doc_id, x.n_words, x.n_removed, x.kept_sha256) for x in substring_dedup.substring_digest(df).collect()]
+    key = lambda x: (x[0] is None, x[0] or 0, x[1:])
+    assert sorted(got, key=key) == sorted(substring_dedup.brute_force(rows), key=key)
+
+
+def test_a_prefix_over_many_partitions(spark):
+    """Edges of partitions: whole partitions of one prefix, and a prefix whose two rows are in two of them."""
+    rows = [(7, t, 0) for t in range(300)] + [(9, 1, 0), (9, 1, 3), (11, 5, 0), (11, 6, 0), (12, 5, 1), (12, 5, 1)] + [(k, 0, 0) for k in range(20, 400)] + [(390, 1, 1)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 37)
+    try:
+        found = suffix_dedup.matching(spark.createDataFrame(rows, "code long, text_key long, pos int"))
+        assert {tuple(x) for x in found.collect()} == {(t, 0) for t in range(300)} | {(5, 0), (6, 0), (0, 0), (1, 1)}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_many_rows_without_id(spark):
+    r = random.Random(12)
+    shared = prose(r, 60, 3000)
+    rows = [(None, " ".join(prose(r, 20, 3000) + shared)) for _ in range(300)] + [(5, " ".join(shared))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = suffix_dedup.drop_repeats(df).collect()
+    assert sorted(len(x.text.split()) for x in kept) == [20] * 300 + [60]
+    assert sorted(x.n_removed for x in substring_dedup.substring_digest(df).collect()) == [0] + [60] * 300

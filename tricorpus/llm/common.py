@@ -74,7 +74,7 @@ def byte_texts(batch: pa.RecordBatch, text: str = "text") -> list[bytes]:
 class WordHashes(dict):
     """64-bit hash of a word, remembered; forgets all when it holds too many."""
 
-    limit = 500_000
+    limit = 1 << 17
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.limit:
@@ -121,14 +121,6 @@ def positions(lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return local, np.repeat(lens, lens) - local
 
 
-def exact_copies(docs: DataFrame) -> DataFrame:
-    """(doc_id, first_doc_id) of the rows of docs(doc_id, text) whose whole text a smaller doc_id has too."""
-    digests = docs.select("doc_id", F.md5("text").alias("digest"))
-    firsts = digests.groupBy("digest").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last"))
-    firsts = firsts.where("first_doc_id < last").drop("last")
-    return digests.join(firsts, "digest").where("doc_id > first_doc_id").select("doc_id", "first_doc_id", "digest")
-
-
 def plain_docs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text): null texts become empty, null ids NO_ID; other columns, whatever their names, are left behind."""
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

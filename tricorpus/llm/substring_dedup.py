@@ -5,15 +5,15 @@ there is a shift s < v that puts both i+s and j+s on D. Hash windows of m words
 lies in D: if two texts share `window` >= m + v - 1 words, one anchor window lies inside the shared run at the
 same place in both, whatever the two offsets are. Steps:
 
-1. anchors: (hash, document, position) at cover positions, about |D| / v of the words, written once;
-2. anchors whose hash has two different doc_ids (partial aggregates, then a join that splits hot hashes);
-3. extension: in the documents concerned, hash every `window`-word window around such an anchor (128 bits)
-   and find the least doc_id that has it;
-4. drop the words of windows that a smaller doc_id has.
+1. anchors: codes of the windows at cover positions, about |D| / v of the words, written once;
+2. anchors whose code two different texts have (partial aggregates, then a join that splits hot codes);
+3. extension: in the documents concerned, every `window`-word window around such an anchor is hashed (128 bits)
+   and the least doc_id that has it found (shared_windows.py);
+4. the words of windows that a smaller doc_id has are dropped.
 
-Whole-text copies skip step 3: all windows of a copy are those of the first copy.
+Whole-text copies take no part in step 3: all windows of a copy are those of the first copy.
 
-Nulls: a null text has no words; a null doc_id counts as greater than any other and comes back as null. Texts under
+Nulls: a null text has no words; a null doc_id counts as greater than any other, several of them as one, and comes back as null. Texts under
 `window` words lose nothing. Rows that share a doc_id are judged on their own, against smaller doc_ids only. An empty
 table gives an empty result. Columns other than the id and the text are not read.
 """
@@ -28,11 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RollingHash, WordHashes, byte_texts, cut, exact_copies, mix, plain_docs, positions, real_id, row_slices
+from . import shared_windows
+from .common import byte_texts, cut, real_id, row_slices
 
 #: Perfect difference sets, by modulus.
 COVERS = {1: (0,), 3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18)}
-BASE, BASE_2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
 
 def cover_for(window: int) -> tuple[int, tuple[int, ...], int]:
@@ -42,92 +42,49 @@ def cover_for(window: int) -> tuple[int, tuple[int, ...], int]:
 
 
 def anchors(docs: DataFrame, window: int) -> DataFrame:
-    """(anchor, doc_id, pos) at the cover positions of docs(doc_id, text)."""
+    """The anchors of keyed docs, as shared_windows.scan gives them."""
     v, cover, m = cover_for(window)
     on = np.zeros(v, bool)
     on[list(cover)] = True
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, rolling = WordHashes(), RollingHash(BASE)
-        for batch in row_slices(batches):
-            lists = [x.split() for x in byte_texts(batch)]
-            lens = np.fromiter(map(len, lists), np.int64, len(lists))
-            local, left = positions(lens)
-            at = np.flatnonzero((left >= m) & on[local % v] & (np.repeat(lens, lens) >= window))
-            if not len(at):
-                continue
-            h = rolling.runs(rolling.prepare(hashes.of(lists, len(local))), at, m)
-            ids = np.repeat(batch.column("doc_id").to_numpy(), lens)[at]
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids), pa.array(local[at].astype(np.int32))], ["anchor", "doc_id", "pos"])
+    def places(h, sums, lens, local, left, rolling):
+        at = np.flatnonzero((left >= m) & on[local % v] & (np.repeat(lens, lens) >= window))
+        return at, rolling.runs(sums, at, m)
 
-    return docs.mapInArrow(run, "anchor long, doc_id long, pos int")
+    return shared_windows.scan(docs, places)
 
 
-def shared_positions(found: DataFrame, key: str) -> DataFrame:
-    """(doc_id, first, pos) of the rows of found(key, doc_id, pos) whose key has several doc_ids; first is the least of them.
-    The keys are written first: a join beside its own aggregate would share its partitions, which Spark then can't split when a key is hot."""
-    several = found.groupBy(key).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select(key, "first")
-    return found.join(cut(several, "shared-keys"), key)
+def matching(found: DataFrame) -> DataFrame:
+    """(text_key, pos) of the anchors found(code, text_key, pos) that several texts have."""
+    several = found.groupBy("code").agg(F.min("text_key").alias("one"), F.max("text_key").alias("last")).where("one < last").select("code")
+    return found.join(cut(several, "shared-anchors"), "code").select("text_key", "pos")  # written first, so that Spark can split a hot code
 
 
-def near_windows(docs: DataFrame, window: int) -> DataFrame:
-    """(w1, w2, doc_id, row_key, start): 128-bit hashes of the windows of docs(doc_id, row_key, text, at) that contain an anchor of `at`."""
+def anchored_windows(docs: DataFrame, texts: DataFrame, at: DataFrame, window: int) -> DataFrame:
+    """shared_windows.windows that hold one of the anchors at(text_key, pos)."""
     m = cover_for(window)[2]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, one, two = WordHashes(), RollingHash(BASE), RollingHash(BASE_2)
-        for batch in row_slices(batches):
-            lists = [x.split() for x in byte_texts(batch)]
-            lens = np.fromiter(map(len, lists), np.int64, len(lists))
-            offsets = np.cumsum(lens) - lens
-            near = np.zeros(int(lens.sum()) + 1, np.int32)  # marks where runs of window starts begin and end
-            at = batch.column("at")
-            rows = np.repeat(np.arange(len(lists)), np.diff(at.offsets.to_numpy()))
-            pos = at.flatten().to_numpy().astype(np.int64)
-            ok = lens[rows] >= window
-            rows, pos = rows[ok], pos[ok]
-            lo, hi = np.maximum(pos - (window - m), 0), np.minimum(pos, lens[rows] - window)
-            ok = lo <= hi  # else the anchor is of another row with this doc_id
-            np.add.at(near, offsets[rows[ok]] + lo[ok], 1)
-            np.add.at(near, offsets[rows[ok]] + hi[ok] + 1, -1)
-            start = np.flatnonzero(np.cumsum(near[:-1]) > 0)
-            if not len(start):
-                continue
-            h = hashes.of(lists, int(lens.sum()))
-            w1 = one.runs(one.prepare(h), start, window)
-            w2 = two.runs(two.prepare(mix(h)), start, window)
-            rows = np.repeat(np.arange(len(lists)), lens)[start]
-            ids, keys = batch.column("doc_id").to_numpy()[rows], batch.column("row_key").to_numpy()[rows]
-            yield pa.RecordBatch.from_arrays([pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64)), pa.array(ids), pa.array(keys), pa.array((start - offsets[rows]).astype(np.int32))], ["w1", "w2", "doc_id", "row_key", "start"])
-
-    return docs.mapInArrow(run, "w1 long, w2 long, doc_id long, row_key long, start int")
-
-
-def covered_starts(docs: DataFrame, window: int) -> DataFrame:
-    """(row_key, starts): starts of the windows that a smaller doc_id has too; whole-text copies are left out."""
-    found = cut(anchors(docs, window), "anchors")
-    at = shared_positions(found, "anchor").groupBy("doc_id").agg(F.collect_list("pos").alias("at"))
-    at = cut(at, "anchor-positions")
-    copies = exact_copies(docs).select(F.xxhash64("doc_id", "digest").alias("row_key"))
-    keyed = docs.select("doc_id", "text", row_key()).join(at, "doc_id").join(copies, "row_key", "left_anti")
-    windows = cut(near_windows(keyed.select("doc_id", "row_key", "text", "at"), window), "windows")
-    firsts = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    late = windows.join(cut(firsts.drop("last"), "first-windows"), ["w1", "w2"]).where("doc_id > first")
-    return late.groupBy("row_key").agg(F.collect_set("start").alias("starts"))
-
+    def starts(sums, offsets, lens, rows, pos, rolling):
+        near = np.zeros(int(lens.sum()) + 1, np.int32)  # marks where runs of window starts begin and end
+        lo, hi = np.maximum(pos - (window - m), 0), np.minimum(pos, lens[rows] - window)
+        np.add.at(near, offsets[rows] + lo, 1)
+        np.subtract.at(near, offsets[rows] + hi + 1, 1)
+        return np.flatnonzero(np.cumsum(near[:-1]) > 0)
 
-def row_key():
-    """One number for a row's id and text: equal rows have equal results, so they may share it."""
-    return F.xxhash64("doc_id", F.md5("text")).alias("row_key")
+    return shared_windows.windows(docs, texts, at, window, starts)
 
 
 def dedup_substrings(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_removed, kept_text): each text without the words of windows that a smaller doc_id has."""
-    docs = plain_docs(docs, id_col, text_col)
-    starts = cut(covered_starts(docs, window), "covered")
-    copies = exact_copies(docs).select(F.xxhash64("doc_id", "digest").alias("row_key"), F.lit(True).alias("copy")).distinct()
-    marks = cut(starts.join(copies, "row_key", "full_outer"), "marks")
-    joined = docs.select("doc_id", "text", row_key()).join(marks, "row_key", "left").select("doc_id", "text", "starts", "copy")
+    docs = shared_windows.keyed(docs, id_col, text_col)
+    found = cut(anchors(docs, window), "anchors")
+    rows = shared_windows.document_rows(found)
+    texts = shared_windows.distinct_texts(rows)
+    windows = anchored_windows(docs, texts, matching(found.where("doc_id is null")), window)
+    late = shared_windows.shared(windows).where("first < doc_id").groupBy("text_key", "doc_id").agg(F.collect_set("start").alias("starts"))
+    copies = shared_windows.copies(rows, texts).select("text_key", "doc_id", F.lit(None).cast("array<int>").alias("starts"), F.lit(True).alias("copy"))
+    marks = cut(late.withColumn("copy", F.lit(False)).union(copies), "marks")
+    joined = docs.join(marks, ["text_key", "doc_id"], "left").select("doc_id", "text", "starts", "copy")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in row_slices(batches):

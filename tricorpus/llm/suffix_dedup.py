@@ -1,33 +1,26 @@
 """Repeated passages by sparse suffix arrays.
 
 Suffixes are kept only where the hash of the next GRAM words is the least of some GAP consecutive ones (minimisers), about
-2 / (GAP + 1) of all positions. The choice depends on those words alone, so a passage that two texts share is sampled at the
-same places in both: a shared run of at least `min_words` words has a sampled suffix among its first GAP positions, which
-shares `min_words` - GAP + 1 words to the right (its prefix). Steps:
-
-1. sampled suffixes as (prefix hash, document, position), written once; prefixes with two different doc_ids are found by partial
-   aggregates and a join that splits hot prefixes;
-2. in the documents concerned, runs of overlapping shared prefixes are joined, and each shared suffix brings the GAP words
-   before and after its prefix;
-3. the suffixes, one of each kind, are sorted over all machines by prefix and following words (and by prefix and preceding words, backwards), and
-   neighbours compared: the longest common prefix with a neighbour is the longest with any suffix. Partitions are cut by range, so one frequent
-   passage spreads over many; the rows at their edges are compared in a second, small pass;
-4. runs grow to the right by what their last suffix shares and to the left by what their first shares, and are merged;
-5. what may be cut, the prefixes that a smaller doc_id has, grows at its ends by what their suffixes share with a smaller doc_id: the least
-   doc_id of each first part of the following (preceding) words is counted for the suffixes at such ends alone.
-
-So every word of every run of `min_words` or more words that two documents share is inside a reported passage, and each
-reported passage is made of words in matches of at least `min_words` - GAP + 1 words with another document. Likewise the cuts hold every
-word of a run of `min_words` that a smaller doc_id has, and only words in matches of that shorter length with one. Whole-text copies
-are one passage and take no part in steps 2 and 3.
-
-Result of repeated_passages, one row a passage: doc_id, start_word, end_word (exclusive), first_doc_id (least doc_id found in
-the passage's prefixes), cuts: the parts that dedup may drop, as they are in a smaller doc_id; none in the first document.
-The first of several whole-text copies has a passage over its whole text, and besides those that repeat a smaller doc_id.
-
-Nulls: a null text has no words; a null doc_id counts as greater than any other and comes back as null. Texts of under
-`min_words` words have no passages. Rows that share a doc_id share one set of passages. An empty table gives an empty
-result. Columns other than the id and the text are not read.
+2 / (GAP + 1) of all positions. The choice depends on those words alone: the place of the least hash among the first GAP of a window of
+`min_words` words is the same in every text that has the window, and the suffix there shares at least `min_words` - GAP + 1 words to the right,
+its prefix. Steps:
+
+1. sampled suffixes, each with its prefix as a 64-bit code, written once;
+2. the sparse suffix array: suffixes are dealt by range of (prefix, text, place) and sorted, so one frequent passage spreads over many partitions, and each
+   is compared with its neighbours: where neighbours of different texts share the prefix, the suffixes match. What stands at the edges of a
+   partition is decided from two rows a partition, the least and greatest text of the edge's prefix;
+3. extension: each matching suffix is extended to the left and to the right, up to the windows of `min_words` words in which it is the
+   sampled one; these are compared in 128 bits, and those with one doc_id only are dropped (shared_windows.py);
+4. windows that touch are joined.
+
+Result of repeated_passages, one row a passage: doc_id, start_word, end_word (exclusive), first_doc_id, cuts. The passages of a document are
+exactly the runs of words that lie in windows of `min_words` words which another doc_id has too. first_doc_id is the least doc_id that has a
+window of the passage (the document itself, if no smaller one does). cuts are the runs of words in windows that a smaller doc_id has:
+what dedup may drop.
+
+Nulls: a null text has no words; a null doc_id counts as greater than any other, several of them as one, and comes back as null. Texts of under
+`min_words` words have no passages. Equal rows have one set of passages; rows with one doc_id and different texts have one each, and don't
+match each other. An empty table gives an empty result. Columns other than the id and the text are not read.
 """
 
 from __future__ import annotations
@@ -39,12 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RollingHash, WordHashes, byte_texts, cut, exact_copies, plain_docs, positions, real_id, row_slices
-from .substring_dedup import BASE, shared_positions
+from . import shared_windows
+from .common import NO_ID, RollingHash, byte_texts, cut, real_id, row_slices
 
 GRAM, GAP = 8, 16
-LEFT, RIGHT = 0, 1
-CUTS = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+SPAN = pa.struct([("a", pa.int32()), ("b", pa.int32())])
+PASSAGES = "doc_id long, start_word int, end_word int, first_doc_id long, cuts array<struct<a:int,b:int>>"
+MATCHES = "prefix long, text_key long, pos int, edge boolean"
 
 
 def _windowed(x: np.ndarray, n: int, best: np.ufunc) -> np.ndarray:
@@ -57,231 +51,159 @@ def _windowed(x: np.ndarray, n: int, best: np.ufunc) -> np.ndarray:
     return out
 
 
-def sampled(words: np.ndarray, left: np.ndarray, rolling: RollingHash, sums: np.ndarray) -> np.ndarray:
-    """Flags of minimiser positions for texts laid end to end; left: words of the text from each position on."""
-    n = len(words)
-    grams = np.full(n + GAP, np.uint64(2**64 - 1))
+def minimisers(sums: np.ndarray, left: np.ndarray, rolling: RollingHash) -> tuple[np.ndarray, np.ndarray]:
+    """For texts laid end to end: the hash of the GRAM words from each word on, and the least of the GAP such hashes from each on."""
+    grams = np.full(len(left) + GAP - 1, np.uint64(2**64 - 1))
     at = np.flatnonzero(left >= GRAM)
     grams[at] = rolling.runs(sums, at, GRAM)
-    least = _windowed(grams, GAP, np.minimum)  # least[i]: over grams[i : i + GAP]
-    most = _windowed(np.concatenate([np.zeros(GAP - 1, np.uint64), least]), GAP, np.maximum)[:n]
-    return (grams[:n] == most) & (left >= GRAM)
+    return grams[: len(left)], _windowed(grams, GAP, np.minimum)
 
 
 def suffixes(docs: DataFrame, min_words: int) -> DataFrame:
-    """(prefix, doc_id, pos) of the sampled suffixes of docs(doc_id, text)."""
+    """The sampled suffixes of keyed docs, as shared_windows.scan gives them."""
     length = min_words - GAP + 1
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, rolling = WordHashes(), RollingHash(BASE)
-        for batch in row_slices(batches):
-            lists = [x.split() for x in byte_texts(batch)]
-            lens = np.fromiter(map(len, lists), np.int64, len(lists))
-            local, left = positions(lens)
-            if not len(local):
-                continue
-            h = hashes.of(lists, len(local))
-            sums = rolling.prepare(h)
-            at = np.flatnonzero(sampled(h, left, rolling, sums) & (left >= length) & (np.repeat(lens, lens) >= min_words))
-            ids = np.repeat(batch.column("doc_id").to_numpy(), lens)[at]
-            yield pa.RecordBatch.from_arrays([pa.array(rolling.runs(sums, at, length).view(np.int64)), pa.array(ids), pa.array(local[at].astype(np.int32))], ["prefix", "doc_id", "pos"])
-
-    return docs.mapInArrow(run, "prefix long, doc_id long, pos int")
+    def places(h, sums, lens, local, left, rolling):
+        grams, least = minimisers(sums, left, rolling)
+        most = _windowed(np.concatenate([np.zeros(GAP - 1, np.uint64), least]), GAP, np.maximum)  # of the windows that hold a place
+        at = np.flatnonzero((grams == most) & (left >= length) & (np.repeat(lens, lens) >= min_words))
+        return at, rolling.runs(sums, at, length)
 
+    return shared_windows.scan(docs, places)
 
-def joined_spans(starts: np.ndarray, length: int) -> list[dict]:
-    """Spans of `length` from each of the sorted starts, those that touch made one."""
-    if not len(starts):
-        return []
-    new = np.flatnonzero(np.concatenate([[True], starts[1:] > starts[:-1] + length]))
-    return [{"a": int(starts[i]), "b": int(starts[j]) + length} for i, j in zip(new, np.append(new[1:], len(starts)) - 1)]
 
-
-def contexts(docs: DataFrame, min_words: int) -> DataFrame:
-    """From docs(doc_id, text, at: [pos, prefix, first]): a row (side, prefix, near) for both sides of each shared suffix (what = 0), a row
-    for each run of them with its first suffix's left side and its last suffix's right side (what = 1), and one for each suffix at `at` that is
-    less than GAP words from an end of the run's cuts, with the side of that end (what = 2)."""
-    length = min_words - GAP + 1
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in row_slices(batches):
-            lists = [x.split() for x in byte_texts(batch)]
-            for i, (words, at, doc) in enumerate(zip(lists, batch.column("at").to_pylist(), batch.column("doc_id").to_pylist())):
-                at = sorted({(a["pos"], a["prefix"], a["first"]) for a in at if a["pos"] + length <= len(words)})
-                if not at:
-                    continue
-                h = np.zeros(len(words) + 2 * GAP, np.int32)  # zeros stand beyond both ends
-                h[GAP:-GAP] = (hashes.of([words], len(words)) >> np.uint64(33)).astype(np.int32) | 1
-                pos = np.array([a[0] for a in at])
-                prefix = np.array([a[1] for a in at], np.int64)
-                after = h[pos[:, None] + (GAP + length) + np.arange(GAP)]
-                before = h[pos[:, None] + (GAP - 1) - np.arange(GAP)]
-                n = len(at)
-                first = np.array([a[2] for a in at], np.int64)
-                new = np.flatnonzero(np.concatenate([[True], pos[1:] > pos[:-1] + length]))
-                last = np.append(new[1:], n) - 1
-                r = len(new)
-                late = first < doc  # these are in a smaller doc_id
-                of_run = np.repeat(np.arange(r), last - new + 1)
-                i = np.flatnonzero(late)
-                begins = np.concatenate([[True], (pos[i[1:]] > pos[i[:-1]] + length) | (of_run[i[1:]] != of_run[i[:-1]])])[: len(i)]
-                part = np.cumsum(begins) - 1
-                ends = np.append(np.flatnonzero(begins)[1:], len(i)) - 1
-                lo = i[pos[i] < pos[i[begins]][part] + GAP] if len(i) else i
-                hi = i[pos[i] > pos[i[ends]][part] - GAP] if len(i) else i
-                edge = np.concatenate([lo, hi])
-                near = np.concatenate([before, after, before[new], after[last], before[lo], after[hi]])
-                m = len(edge)
-                size = 2 * n + 2 * r + m
-                gone = [pos[a : b + 1][late[a : b + 1]] for a, b in zip(new, last)]
-                cuts = [joined_spans(g, length) for g in gone]
-                none, rest = [None] * (2 * n), [None] * m
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.repeat([0, 1, 2], [2 * n, 2 * r, m]).astype(np.int32)),
-                        pa.array(np.repeat([LEFT, RIGHT, LEFT, RIGHT, LEFT, RIGHT], [n, n, r, r, len(lo), len(hi)]).astype(np.int32)),
-                        pa.array(np.concatenate([prefix, prefix, prefix[new], prefix[last], prefix[edge]])),
-                        pa.FixedSizeListArray.from_arrays(pa.array(near.ravel()), GAP).cast(pa.list_(pa.int32())),
-                        pa.array(np.full(size, doc, np.int64)),
-                        pa.array(none + np.concatenate([pos[new], pos[new], pos[new][of_run[edge]]]).tolist(), pa.int32()),
-                        pa.array(none + np.concatenate([pos[last] + length] * 2).tolist() + rest, pa.int32()),
-                        pa.array(none + [int(first[a : b + 1].min()) for a, b in zip(new, last)] * 2 + rest, pa.int64()),
-                        pa.array(none + cuts * 2 + rest, CUTS),
-                        pa.array([None] * (size - m) + pos[edge].tolist(), pa.int32()),
-                    ],
-                    ["what", "side", "prefix", "near", "doc_id", "start", "stop", "first", "cuts", "at"],
-                )
-
-    return docs.mapInArrow(run, "what int, side int, prefix long, near array<int>, doc_id long, start int, stop int, first long, cuts array<struct<a:int,b:int>>, at int")
-
-
-def neighbour_lengths(kinds: DataFrame) -> DataFrame:
-    """(side, prefix, near, shared): for each distinct row of kinds(side, prefix, near, several) how many words of `near` the most similar
-    other row with its side and prefix shares; all of them if `several` documents have the row."""
-    keys = ["side", "prefix", "near"]
-    ordered = kinds.repartitionByRange(*keys).sortWithinPartitions(*keys)
-
-    def common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        same = (a == b) & (a != 0)
-        return np.where(same.all(axis=1), a.shape[1], np.argmin(same, axis=1))
+def matching(found: DataFrame) -> DataFrame:
+    """(text_key, pos) of the suffixes found(code, text_key, pos) whose prefix a suffix of another text has; some may be there twice."""
+    keys = ["prefix", "text_key", "pos"]
+    ordered = found.select(F.col("code").alias("prefix"), "text_key", "pos").repartitionByRange(*keys).sortWithinPartitions(*keys)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each row with what it shares with the rows beside it in its partition; edge marks the partition's first and last row."""
-        held = None  # the last row so far: it still lacks its right neighbour
-        begun = False
-
-        def out(side, prefix, near, shared, edge):
-            lists = pa.FixedSizeListArray.from_arrays(pa.array(near.ravel()), GAP).cast(pa.list_(pa.int32()))
-            return pa.RecordBatch.from_arrays([pa.array(side), pa.array(prefix), lists, pa.array(shared.astype(np.int32)), pa.array(edge)], [*keys, "shared", "edge"])
-
+        """Suffixes that match a neighbour. Of the partition's first and last prefix all rows come with edge set, or two that stand for them."""
+        names = [c.split()[0] for c in MATCHES.split(", ")]
+        out = lambda p, t, x, edge: pa.RecordBatch.from_arrays([pa.array(p), pa.array(t), pa.array(x), pa.array(np.broadcast_to(edge, len(p)))], names)
+        first = None  # the partition's first prefix
+        matched = False  # the last prefix so far has two texts already
+        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)]  # rows of the last prefix, all of one text so far
+        ends: list[tuple] = []  # first and last row of the last prefix
         for batch in batches:
+            new = [batch.column(c).to_numpy() for c in keys]
             if not batch.num_rows:
                 continue
-            new = [batch.column("side").to_numpy(), batch.column("prefix").to_numpy(), batch.column("near").flatten().to_numpy().reshape(-1, GAP), np.zeros(batch.num_rows, np.int32)]
-            whole = np.where((new[2] == 0).any(axis=1), np.argmax(new[2] == 0, axis=1), GAP)  # zeros stand beyond a text's end
-            new[3] = np.where(batch.column("several").to_numpy(zero_copy_only=False), whole, 0)
-            edge = np.zeros(batch.num_rows, bool)
-            if held is None:
-                edge[0] = not begun
+            prefix, text, pos = (np.concatenate(x) for x in zip(held, new))
+            if first is None:
+                first = prefix[0]
+            start = np.flatnonzero(np.concatenate([[True], prefix[1:] != prefix[:-1]]))
+            stop = np.append(start[1:], len(prefix))
+            several = text[start] != text[stop - 1]
+            if ends and ends[0][0] == prefix[0]:
+                several[0] |= matched or ends[0][1] != text[0]
             else:
-                new = [np.concatenate(x) for x in zip(held[:4], new)]
-                edge = np.concatenate([held[4], edge])
-            begun = True
-            side, prefix, near, shared = new
-            n = np.where((side[1:] == side[:-1]) & (prefix[1:] == prefix[:-1]), common(near[1:], near[:-1]), 0)
-            shared[1:] = np.maximum(shared[1:], n)
-            shared[:-1] = np.maximum(shared[:-1], n)
-            held = [side[-1:], prefix[-1:], near[-1:], shared[-1:], edge[-1:]]
-            if len(side) > 1:
-                yield out(side[:-1], prefix[:-1], near[:-1], shared[:-1], edge[:-1])
-        if held is not None:
-            yield out(*held[:4], np.array([True]))
-
-    found = cut(ordered.mapInArrow(compare, "side int, prefix long, near array<int>, shared int, edge boolean"), "neighbours")
-    edges = found.where("edge").select(*keys, F.lit(False).alias("several"))  # two rows a partition
-    across = edges.coalesce(1).sortWithinPartitions(*keys).mapInArrow(compare, "side int, prefix long, near array<int>, shared int, edge boolean")
-    return found.drop("edge").union(across.drop("edge")).groupBy(*keys).agg(F.max("shared").alias("shared"))
-
-
-def grown_cuts(asked: DataFrame, kinds: DataFrame, min_words: int) -> DataFrame:
-    """(doc_id, start, pieces): for the suffixes asked(side, prefix, near, doc_id, start, at), the prefix at `at` with the words beside it that
-    some smaller doc_id has there too; kinds(side, prefix, near, least) as in repeated_passages."""
-    keys, length = ["side", "prefix", "near"], min_words - GAP + 1
-    some = cut(kinds.join(asked.select("side", "prefix").distinct(), ["side", "prefix"], "left_semi").select(*keys, "least"), "asked-kinds")
-
-    def parts(df: DataFrame) -> DataFrame:
-        """A row for each first part of `near` (n words of it, up to the text's end)."""
-        each = df.withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(GAP)))).where(F.element_at("near", F.col("n")) != 0)
-        return each.withColumn("part", F.xxhash64("side", "prefix", F.slice("near", F.lit(1), F.col("n"))))
-
-    least = parts(some).groupBy("part").agg(F.min("least").alias("one"), F.max("least").alias("last")).where("one < last").select("part", "one")
-    rows = cut(asked.join(some, keys), "asked")
-    alone = rows.where("doc_id = least").select(*keys, "least").distinct()  # all others share the whole of `near` with a smaller doc_id
-    found = parts(alone).join(cut(least, "least-of-parts"), "part").where("one < least").groupBy(*keys).agg(F.max("n").alias("n"))
-    whole = F.when(F.array_contains("near", 0), F.array_position("near", 0).cast("int") - 1).otherwise(GAP)
-    grown = rows.join(found, keys, "left").withColumn("n", F.when(F.col("doc_id") > F.col("least"), whole).otherwise(F.coalesce("n", F.lit(0))))
-    left, right = (F.when(F.col("side") == side, F.col("n")).otherwise(0) for side in (LEFT, RIGHT))
-    piece = F.struct((F.col("at") - left).alias("a"), (F.col("at") + length + right).alias("b"))
-    return grown.groupBy("doc_id", "start").agg(F.collect_set(piece).alias("pieces"))
-
-
-def repeated_passages(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, start_word, end_word, first_doc_id, cut_start, cut_end) of the passages that documents share."""
+                ends = []
+            edge = prefix[start] == first
+            keep = several | edge
+            keep[-1] = several[-1]
+            if (rows := np.flatnonzero(np.repeat(keep, stop - start))).size:
+                yield out(prefix[rows], text[rows], pos[rows], np.repeat(edge, stop - start)[rows])
+            matched = bool(several[-1])
+            a = start[-1]
+            begin = ends[0] if ends and len(start) == 1 else (prefix[a], text[a], pos[a])
+            ends = [begin, (prefix[-1], text[-1], pos[-1])]
+            fresh = np.concatenate([[True], pos[a + 1 :] != pos[a:-1]])  # equal rows are copies of one text
+            held = [x[:0] if matched else x[a:][fresh] for x in (prefix, text, pos)]
+        if len(held[0]):
+            yield out(*held, True)
+        if ends and matched:
+            yield out(*(np.array([e[i] for e in ends], held[i].dtype) for i in range(3)), True)
+
+    rows = cut(ordered.mapInArrow(compare, MATCHES), "matches")
+    # two prefixes a partition at most, so their size follows the number of partitions, not of suffixes
+    edges = rows.where("edge").groupBy("prefix").agg((F.min("text_key") < F.max("text_key")).alias("several")).where("several").select("prefix")
+    return rows.where("not edge").select("text_key", "pos").union(rows.where("edge").join(F.broadcast(edges), "prefix").select("text_key", "pos"))
+
+
+def repeated_windows(docs: DataFrame, texts: DataFrame, at: DataFrame, min_words: int) -> DataFrame:
+    """shared_windows.windows of the suffixes at(text_key, pos), extended to both sides."""
+
+    def starts(sums, offsets, lens, rows, pos, rolling):
+        left = np.repeat(offsets + lens, lens) - np.arange(int(lens.sum()))
+        grams, least = minimisers(sums, left, rolling)
+        chosen = np.zeros(len(left), bool)
+        at, room = offsets[rows] + pos, np.minimum(pos, GAP - 1)
+        for k in range(GAP):  # windows that begin k words before the suffix
+            s = at[room >= k] - k
+            chosen[s[(left[s] >= min_words) & (least[s] == grams[s + k])]] = True
+        return np.flatnonzero(chosen)
+
+    return shared_windows.windows(docs, texts, at, min_words, starts)
+
+
+def _keyed_passages(docs: DataFrame, min_words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """PASSAGES of docs with the text_key of each document; null ids are NO_ID."""
     if min_words < GRAM + GAP:
         raise ValueError(f"min_words must be at least {GRAM + GAP}")
-    docs = plain_docs(docs, id_col, text_col)
-    copies = exact_copies(docs).select("doc_id", "first_doc_id").distinct()
+    docs = shared_windows.keyed(docs, id_col, text_col)
     found = cut(suffixes(docs, min_words), "suffixes")
-    shared = shared_positions(found, "prefix").groupBy("doc_id").agg(F.collect_list(F.struct("pos", "prefix", "first")).alias("at"))
-    shared = cut(shared.join(copies, "doc_id", "left_anti"), "shared-suffixes")
-    rows = cut(contexts(docs.join(shared, "doc_id").select("doc_id", "text", "at"), min_words), "contexts")
-    keys = ["side", "prefix", "near"]
-    kinds = rows.where("what = 0").groupBy(*keys).agg((F.min("doc_id") < F.max("doc_id")).alias("several"), F.min("doc_id").alias("least"))
-    lengths = neighbour_lengths(kinds.drop("least"))
-    grown = rows.where("what = 1").join(lengths, keys)
-    side = lambda n: F.max(F.when(F.col("side") == n, F.col("shared")))
-    runs = grown.groupBy("doc_id", "start", "stop", "first", "cuts").agg(side(LEFT).alias("l"), side(RIGHT).alias("r"))
-    pieces = grown_cuts(rows.where("what = 2").select(*keys, "doc_id", "start", "at"), kinds, min_words)
-    runs = runs.join(pieces, ["doc_id", "start"], "left").withColumn("cuts", F.concat("cuts", F.coalesce("pieces", F.expr("array()").cast("array<struct<a:int,b:int>>"))))
-    a = F.least(F.col("start") - F.col("l"), F.array_min("cuts.a"))
-    b = F.greatest(F.col("stop") + F.col("r"), F.array_max("cuts.b"))
-    spans = runs.select("doc_id", F.struct(a.alias("a"), b.alias("b"), "first", "cuts").alias("s"))
-    passages = _merge(spans.groupBy("doc_id").agg(F.array_sort(F.collect_list("s")).alias("s"))).where(F.col("end_word") - F.col("start_word") >= min_words)
-    firsts = copies.groupBy(F.col("first_doc_id").alias("doc_id")).agg(F.lit(None).cast("long").alias("first_doc_id"))
-    n_words = F.size(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
-    whole = docs.join(copies.union(firsts), "doc_id").select("doc_id", F.lit(0).alias("start_word"), n_words.alias("end_word"), "first_doc_id").where(F.col("end_word") >= min_words)
-    whole = whole.groupBy("doc_id", "start_word", "end_word").agg(F.min("first_doc_id").alias("first_doc_id"))
-    cuts = F.when(F.col("first_doc_id").isNull(), F.array()).otherwise(F.array(F.struct(F.col("start_word").alias("a"), F.col("end_word").alias("b"))))
-    whole = whole.select("doc_id", "start_word", "end_word", F.coalesce("first_doc_id", "doc_id").alias("first_doc_id"), cuts.cast("array<struct<a:int,b:int>>").alias("cuts"))
-    partial = passages.join(firsts.select("doc_id", F.lit(True).alias("x")), "doc_id", "left").where("x is null or size(cuts) > 0").drop("x")
-    return partial.union(whole).withColumns({c: real_id(c) for c in ("doc_id", "first_doc_id")})
-
-
-def _merge(runs: DataFrame) -> DataFrame:
-    """Passages from each document's sorted spans: those that touch become one."""
+    rows = shared_windows.document_rows(found)
+    texts = shared_windows.distinct_texts(rows)
+    windows = repeated_windows(docs, texts, matching(found.where("doc_id is null")), min_words)
+    marks = shared_windows.shared(windows).groupBy("text_key", "doc_id").agg(F.collect_set(F.struct("start", "first")).alias("marks"))
+    whole = F.when((F.col("doc_id") < F.col("last")) & (F.col("n_words") >= min_words), F.col("n_words"))  # its copies have all of it
+    firsts = texts.select("text_key", "check", "doc_id", whole.alias("whole")).join(marks, ["text_key", "doc_id"], "left").where("marks is not null or whole is not null")
+    passages = cut(_passages(firsts, min_words), "passages")
+    least = passages.where("whole").select("text_key", "check", "first_doc_id")
+    late = shared_windows.copies(rows, texts).drop("first_doc_id").where(F.col("n_words") >= min_words).join(least, ["text_key", "check"])
+    cuts = F.array(F.struct(F.lit(0).alias("a"), F.col("n_words").alias("b")))
+    late = late.select("doc_id", F.lit(0).alias("start_word"), F.col("n_words").alias("end_word"), "first_doc_id", cuts.alias("cuts"), "text_key")
+    return passages.select(*late.columns).union(late)
+
+
+def repeated_passages(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """PASSAGES of docs."""
+    return _keyed_passages(docs, min_words, id_col, text_col).drop("text_key").withColumns({c: real_id(c) for c in ("doc_id", "first_doc_id")})
+
+
+def _passages(rows: DataFrame, min_words: int) -> DataFrame:
+    """PASSAGES with text_key, check and whole from rows(text_key, check, doc_id, whole, marks): windows' starts with the least doc_id of each;
+    whole: the number of words where all of the text is one passage."""
+
+    def runs(start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where runs of windows that touch begin and end among the sorted starts."""
+        new = np.flatnonzero(np.concatenate([[True], start[1:] > start[:-1] + min_words])) if len(start) else np.zeros(0, np.int64)
+        return new, np.append(new[1:], len(start))[: len(new)]
+
+    def spans(start: np.ndarray) -> list[dict]:
+        return [{"a": int(start[i]), "b": int(start[j - 1]) + min_words} for i, j in zip(*runs(start))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for doc, spans in zip(batch.column("doc_id").to_pylist(), batch.column("s").to_pylist()):
-                now: list | None = None
-                for s in spans:
-                    if now and s["a"] <= now[2]:
-                        now[2:] = max(now[2], s["b"]), min(now[3], s["first"]), now[4] + s["cuts"]
-                    else:
-                        now = [doc, s["a"], s["b"], s["first"], s["cuts"]]
-                        out.append(now)
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), CUTS]
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], ["doc_id", "start_word", "end_word", "first_doc_id", "cuts"])
+            out: list[tuple] = []
+            marks = batch.column("marks")
+            for key, check, doc, whole, m in zip(*(batch.column(c).to_pylist() for c in ("text_key", "check", "doc_id", "whole")), marks):
+                start, first = (np.zeros(0, np.int64),) * 2
+                if m.is_valid:
+                    start, first = (m.values.field(i).to_numpy() for i in range(2))
+                    order = np.argsort(start, kind="stable")
+                    start, first = start[order], first[order]
+                cuts = start[first < doc]
+                if whole is not None:
+                    out.append((doc, 0, whole, min(doc, int(first.min(initial=NO_ID))), spans(cuts), key, check, True))
+                    continue
+                for i, j in zip(*runs(start)):
+                    a, b = int(start[i]), int(start[j - 1]) + min_words
+                    out.append((doc, a, b, int(first[i:j].min()), spans(cuts[(cuts >= a) & (cuts < b)]), key, check, False))
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(SPAN), pa.int64(), pa.int64(), pa.bool_()]
+            names = [*(c.split()[0] for c in PASSAGES.split(", ")), "text_key", "check", "whole"]
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], names)
 
-    return runs.mapInArrow(run, "doc_id long, start_word int, end_word int, first_doc_id long, cuts array<struct<a:int,b:int>>")
+    return rows.mapInArrow(run, f"{PASSAGES}, text_key long, check long, whole boolean")
 
 
 def drop_repeats(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """docs(doc_id, text) with the words of all cuts dropped; texts without cuts are as they were."""
-    cuts = repeated_passages(docs, min_words).where("size(cuts) > 0").groupBy("doc_id").agg(F.flatten(F.collect_list("cuts")).alias("cuts"))
-    joined = docs.select("doc_id", "text").join(cuts, "doc_id", "left")
+    cuts = _keyed_passages(docs, min_words).where("size(cuts) > 0").groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list("cuts")).alias("cuts"))
+    keys = {"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "__key": F.xxhash64(F.coalesce("text", F.lit("")))}
+    cuts = cuts.withColumnsRenamed({"doc_id": "__id", "text_key": "__key"})
+    joined = docs.select("doc_id", "text").withColumns(keys).join(cuts, list(keys), "left").select("doc_id", "text", "cuts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in row_slices(batches):
@@ -295,3 +217,26 @@ def drop_repeats(docs: DataFrame, min_words: int = 50) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.binary()).cast(pa.string())], ["doc_id", "text"])
 
     return joined.mapInArrow(run, "doc_id long, text string")
+
+
+def brute_force(rows: list[tuple[int | None, str | None]], min_words: int = 50) -> set[tuple]:
+    """The same result from the definition, for small tables: (doc_id, start_word, end_word, first_doc_id, cuts)."""
+    texts = {(NO_ID if i is None else i, tuple((t or "").encode().split())) for i, t in rows}
+    having: dict[tuple, set[int]] = {}
+    for i, w in texts:
+        for s in range(len(w) - min_words + 1):
+            having.setdefault(w[s : s + min_words], set()).add(i)
+
+    def spans(starts: list[int]) -> list[tuple[int, int]]:
+        covered = sorted({s + k for s in starts for k in range(min_words)})
+        edges = [k for k, x in enumerate(covered) if not k or covered[k - 1] != x - 1]
+        return [(covered[a], covered[b - 1] + 1) for a, b in zip(edges, [*edges[1:], len(covered)])]
+
+    out = set()
+    for i, w in texts:
+        first = {s: min(d) for s in range(len(w) - min_words + 1) if len(d := having[w[s : s + min_words]]) > 1}
+        cuts = spans([s for s, d in first.items() if d < i])
+        for a, b in spans(list(first)):
+            least = min(d for s, d in first.items() if a <= s < b)
+            out.add((None if i == NO_ID else i, a, b, None if least == NO_ID else least, tuple(c for c in cuts if a <= c[0] < b)))
+    return out
