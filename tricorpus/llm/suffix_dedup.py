@@ -78,7 +78,7 @@ def matching(found: DataFrame) -> DataFrame:
     ordered = found.select(F.col("code").alias("prefix"), "text_key", "pos").repartitionByRange(*keys).sortWithinPartitions(*keys)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Suffixes that match a neighbour. Of the partition's first and last prefix all rows come with edge set, or two that stand for them."""
+        """Suffixes that match a neighbour. Rows of the partition's first and last prefix that don't come too, with edge set; if they do, two stand for them."""
         names = [c.split()[0] for c in MATCHES.split(", ")]
         out = lambda p, t, x, edge: pa.RecordBatch.from_arrays([pa.array(p), pa.array(t), pa.array(x), pa.array(np.broadcast_to(edge, len(p)))], names)
         first = None  # the partition's first prefix
@@ -99,11 +99,13 @@ def matching(found: DataFrame) -> DataFrame:
                 several[0] |= matched or ends[0][1] != text[0]
             else:
                 ends = []
-            edge = prefix[start] == first
+            edge = (prefix[start] == first) & ~several
             keep = several | edge
             keep[-1] = several[-1]
             if (rows := np.flatnonzero(np.repeat(keep, stop - start))).size:
                 yield out(prefix[rows], text[rows], pos[rows], np.repeat(edge, stop - start)[rows])
+            if several[0] and prefix[0] == first:
+                yield out(*(x[[0, stop[0] - 1]] for x in (prefix, text, pos)), True)
             matched = bool(several[-1])
             a = start[-1]
             begin = ends[0] if ends and len(start) == 1 else (prefix[a], text[a], pos[a])
