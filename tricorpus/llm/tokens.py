@@ -3,7 +3,9 @@
 The byte-level pre-tokenizer cuts before any single space or newline that stands between other characters, whatever is
 around it, so a text without two white-space characters in a row is the sequence of its parts, each with the space or newline
 before it. Parts are encoded once and remembered (words recur); every other text is encoded whole. A text's first part is taken
-as if a newline stood before it, whose id is dropped.
+as if a newline stood before it, whose id is dropped. Runs of letters and runs of ASCII marks are pieces of their own for the pre-tokenizer
+(but for contractions and special tokens, which are left to it); the letters go to the tokenizer's model directly, in the
+alphabet that stands for bytes there.
 """
 
 from __future__ import annotations
@@ -11,6 +13,8 @@ from __future__ import annotations
 import os
 import sys
 import types
+from array import array
+from string import punctuation as MARKS
 
 import numpy as np
 
@@ -29,18 +33,49 @@ class Encoder(dict):
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.old: dict[str, bytes] = {}
         self.newline = self._encode("\n")
-        self.marks = {m: self._encode(m) for m in ",."}
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.runs: dict[str, bytes] = {}  # of marks
+        self.model, self.code = self.tokenizer.model, "H" if self.dtype.itemsize == 2 else "I"
+        # bytes that aren't printable in Latin-1 are moved to 256 and up, in order, as byte-level vocabularies have it
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        moved = (b for b in range(256) if b not in printable)
+        self.alphabet = {b: chr(256 + i) for i, b in enumerate(moved)}
 
     def _encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
+    def _letters(self, text: str) -> bytes:
+        """Of letters, or a space and letters."""
+        word = text if text.isascii() else text.encode().decode("latin-1")
+        return array(self.code, [t.id for t in self.model.tokenize(word.translate(self.alphabet))]).tobytes()
+
+    def _marks(self, text: str) -> bytes:
+        ids = self.runs.get(text)
+        if ids is None:
+            if len(self.runs) > 10_000:
+                self.runs.clear()
+            ids = self.runs[text] = self._encode(text)
+        return ids
+
+    def _part(self, part: str) -> bytes:
+        newline = part[0] == "\n"
+        body = part[1:] if newline else part
+        if body.isalpha():
+            return self.newline + self._letters(body) if newline else self._letters(" " + body)
+        core = body.strip(MARKS)
+        if not core.isalpha() or "'" in body or any(s in body for s in self.special):
+            return self._encode(part if newline else " " + part)
+        at = body.index(core)
+        lead, trail = body[:at], body[at + len(core) :]
+        ids = self[("\n" if newline or lead else "") + core]
+        if lead:
+            ids = (self.newline + self._marks(lead) if newline else self._marks(" " + lead)) + ids[len(self.newline) :]
+        return ids + self._marks(trail) if trail else ids
+
     def __missing__(self, part: str) -> bytes:
         ids = self.old.get(part)
         if ids is None:
-            if part[-1] in self.marks and part[-2:-1].isalpha():  # letters end where a mark begins
-                ids = self[part[:-1]] + self.marks[part[-1]]
-            else:
-                ids = self._encode(part if part[0] == "\n" else " " + part)
+            ids = self._part(part)
         self[part] = ids
         return ids
 
