@@ -1,3 +1,4 @@
+import functools
 import hashlib
 import random
 import zlib
@@ -6,14 +7,19 @@ import numpy as np
 import pytest
 
 from tricorpus.llm import chat, rangecoder, token_files
-from tricorpus.llm.tokens import encoder
+from tricorpus.llm.tokens import Counter, encoder
 
 
-def plain_ids(text):
+@functools.cache
+def tokenizer():
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode(text, add_special_tokens=False).ids
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def plain_ids(text):
+    return tokenizer().encode(text, add_special_tokens=False).ids
 
 
 def test_encoder_equals_the_tokenizer():
@@ -24,6 +30,31 @@ def test_encoder_equals_the_tokenizer():
     assert [np.frombuffer(x, code.dtype).tolist() for x in code.texts(texts)] == [plain_ids(t) for t in texts]
 
 
+def test_words_and_marks_equal_the_tokenizer():
+    r = random.Random(2)
+    letters, marks = ["a", "Wort", "ñandú", "queué", "日本", "ß", "ﬁ", "ª", "ǅ", "ا", "x²", "½", "Ⅷ"], [",", ".", "...", "(", ")", '"', "'", "'s", "'ll", "<|endoftext|>", "<|", "-", "_", "—", "«", "$", "1", "2a", "\u0301"]
+    texts = ["".join(r.choice(letters + marks) if r.random() < 0.8 else r.choice([" ", "\n"]) for _ in range(r.randint(1, 25))) for _ in range(3000)]
+    code, numbers = encoder(), encoder(kind=Counter)
+    want = [plain_ids(t) for t in texts]
+    for _ in range(2):  # as met first, and as remembered
+        assert [np.frombuffer(x, code.dtype).tolist() for x in code.texts(texts)] == want
+        assert numbers.counts(texts) == [len(x) for x in want]
+
+
+def test_too_large_ids_are_refused():
+    with pytest.raises(ValueError):
+        rangecoder.encode_block(np.array([1]), np.array([1]), np.array([1 << 19]))
+
+
+def test_mixing_three_predictors_beats_order_0():
+    r = np.random.default_rng(5)
+    ids = np.minimum(r.zipf(1.3, 200_000), 5000)
+    ids[1::2] = (ids[::2] * 31) % 977  # every other one follows from the one before
+    _, n = np.unique(ids, return_counts=True)
+    entropy = -(n * np.log2(n / len(ids))).sum() / 8
+    assert len(rangecoder.encode_block(np.array([1]), np.array([len(ids)]), ids)) < 0.85 * entropy
+
+
 @pytest.mark.parametrize("n,space", [(0, 1), (1, 1), (2, 5), (191, 7), (5000, 50_257), (60_000, 3)])
 def test_blocks_come_back(n, space):
     rng = np.random.default_rng(n)

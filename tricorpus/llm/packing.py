@@ -18,11 +18,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, row_slices
-from .tokens import encoder
+from .tokens import Counter, encoder
 
 SHARD_ITEMS = 2048
 PIECES = "doc_id long, piece int, n_pieces int, source string, n_tokens int, bin long, start int"
@@ -72,15 +73,17 @@ def lengths(docs: DataFrame, tokenizer: str, cluster_col: str | None) -> DataFra
     """(doc_id, source, cluster, n_tokens) with the end id counted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = encoder(tokenizer)
+        code = encoder(tokenizer, Counter)
         for batch in row_slices(batches, limit=1 << 20):
-            width = code.dtype.itemsize
-            n = [len(x) // width + 1 for x in code.texts(batch.column("text").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), batch.column("cluster"), pa.array(n, pa.int64())], ["doc_id", "source", "cluster", "n_tokens"])
-
-    own = F.md5(F.array_join(F.regexp_extract_all(F.lower("text"), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), " "))
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce("text", F.lit("")).alias("text"), *([F.col(cluster_col).cast("string").alias("cluster")] if cluster_col else []))
-    return (text if cluster_col else text.withColumn("cluster", own)).mapInArrow(run, "doc_id long, source string, cluster string, n_tokens long")
+            texts = batch.column("text").to_pylist()
+            cluster = batch.column("cluster")
+            if not cluster_col:
+                cluster = pa.array([xxhash.xxh3_128_hexdigest(b" ".join(t.lower().encode().split())) for t in texts])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), cluster, pa.array([n + 1 for n in code.counts(texts)], pa.int64())], ["doc_id", "source", "cluster", "n_tokens"])
+
+    cluster = F.col(cluster_col) if cluster_col else F.lit(None)
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce("text", F.lit("")).alias("text"), cluster.cast("string").alias("cluster"))
+    return text.mapInArrow(run, "doc_id long, source string, cluster string, n_tokens long")
 
 
 def pack(docs: DataFrame, capacity: int = 4096, tokenizer: str = "byte_bpe_50k.json", cluster_col: str | None = None) -> DataFrame:

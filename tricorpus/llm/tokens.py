@@ -23,7 +23,7 @@ class Encoder(dict):
     """Ids of texts as little-endian unsigned 16- or 32-bit integers. As a dict: ids of the parts met lately, where those that
     follow a space stand without it and those that follow a newline with it; an older generation is kept beside it."""
 
-    limit = 300_000
+    limit = 1 << 19
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -58,6 +58,8 @@ class Encoder(dict):
         return ids
 
     def _part(self, part: str) -> bytes:
+        if part[-1] in ",." and part[:-1].isalpha():
+            return self[part[:-1]] + self._marks(part[-1])
         newline = part[0] == "\n"
         body = part[1:] if newline else part
         if body.isalpha():
@@ -69,9 +71,12 @@ class Encoder(dict):
         lead, trail = body[:at], body[at + len(core) :]
         ids = self[("\n" if newline or lead else "") + core]
         if lead:
-            ids = (self.newline + self._marks(lead) if newline else self._marks(" " + lead)) + ids[len(self.newline) :]
+            ids = (self.newline + self._marks(lead) if newline else self._marks(" " + lead)) + self._without_newline(ids)
         return ids + self._marks(trail) if trail else ids
 
+    def _without_newline(self, ids: bytes) -> bytes:
+        return ids[len(self.newline) :]
+
     def __missing__(self, part: str) -> bytes:
         ids = self.old.get(part)
         if ids is None:
@@ -81,24 +86,47 @@ class Encoder(dict):
 
     def texts(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, end to end."""
-        out, get, skip = [], self.__getitem__, len(self.newline)
+        skip = len(self.newline)
+        return self._each(texts, lambda parts: b"".join(parts)[skip:])
+
+    def _each(self, texts: list[str], join) -> list:
+        out, get = [], self.__getitem__
         for t in texts:
             flat = t.replace("\n", " ")
             if flat.isprintable() and "  " not in flat and flat[:1] != " " and flat[-1:] not in ("", " "):
                 if len(self) > self.limit:
                     self.old = dict(self)
                     self.clear()
-                out.append(b"".join(map(get, ("\n" + t).replace("\n", " \n").split(" ")[1:]))[skip:])
+                out.append(join(map(get, ("\n" + t).replace("\n", " \n").split(" ")[1:])))
             else:
                 out.append(self._encode(t))
         return out
 
 
-def encoder(name: str = "byte_bpe_50k.json") -> Encoder:
-    """This process's encoder for a tokenizer file (a path, or a name among the public tokenizers), loaded once."""
+class Counter(Encoder):
+    """How many ids texts have: remembers numbers in place of ids."""
+
+    def _encode(self, text: str) -> int:
+        return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _letters(self, text: str) -> int:
+        word = text if text.isascii() else text.encode().decode("latin-1")
+        return len(self.model.tokenize(word.translate(self.alphabet)))
+
+    def _without_newline(self, ids: int) -> int:
+        return ids - self.newline
+
+    def counts(self, texts: list[str]) -> list[int]:
+        """The number of ids of each text."""
+        return self._each(texts, lambda parts: sum(parts) - self.newline)
+
+
+def encoder(name: str = "byte_bpe_50k.json", kind: type[Encoder] = Encoder) -> Encoder:
+    """This process's encoder of a kind for a tokenizer file (a path, or a name among the public tokenizers), loaded once."""
     kept = sys.modules.setdefault("_tricorpus_encoders", types.ModuleType("_tricorpus_encoders"))
-    if name not in kept.__dict__:
+    key = f"{kind.__name__}:{name}"
+    if key not in kept.__dict__:
         import public_tokenizers
 
-        setattr(kept, name, Encoder(name if os.path.isabs(name) else public_tokenizers.path(name)))
-    return kept.__dict__[name]
+        setattr(kept, key, kind(name if os.path.isabs(name) else public_tokenizers.path(name)))
+    return kept.__dict__[key]
