@@ -14,6 +14,45 @@ def test_masks_hit_every_window_with_few_replaced_words():
             assert ok, (window, gone)
 
 
+def test_masks_find_every_item_with_every_allowed_pattern():
+    for n in range(1, 21):
+        w = min(n, 16)
+        replaced = w - -(-4 * w // 5)
+        masks = decontaminate.masks_for(n)
+        for gone in itertools.combinations(range(w), replaced):
+            assert any(all(c == "0" or s + i not in gone for i, c in enumerate(m)) for m in masks for s in range(w - len(m) + 1)), (n, gone)
+
+
+def test_items_of_all_lengths_equal_sql_without_seeds(spark):
+    """Every allowed pattern of replaced words for items of 1 to 11 words, many null ids and one id with many texts."""
+    r = random.Random(19)
+    items = [(n, " ".join(f"i{n}x{k}" for k in range(n))) for n in [*range(1, 12), 15, 16, 30]]
+    texts = [" ".join(f"t{r.randrange(50)}" for _ in range(12)) for _ in range(10)]
+    for n, item in items[:11]:
+        w = item.split()
+        texts += [" ".join(["before"] + ["gone" if k in gone else x for k, x in enumerate(w)] + ["after"]) for m in range(3) for gone in itertools.combinations(range(n), m)]
+    for _, item in items[11:]:
+        for _ in range(25):
+            w = item.split()
+            for k in r.sample(range(len(w)), r.randint(0, len(w) // 4)):
+                w[k] = "gone"
+            texts.append(" ".join(w[r.randint(0, 3) :]))
+    docs = [(k, t) for k, t in enumerate(texts)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.contaminated(d, b, least=1)
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(docs, columns=["doc_id", "text"]))
+    con.register("benchmark", pd.DataFrame(items, columns=["item_id", "text"]))
+    rel = con.execute(decontaminate.ORACLE_ALL)
+    names = [c[0] for c in rel.description]
+    want = {tuple(dict(zip(names, x))[c] for c in got.columns) for x in rel.fetchall()}
+    assert set(map(tuple, got.collect())) == want and {i for _, i, *_ in want} == {i for i, _ in items}
+    bad = {i for i, *_ in want}
+    for ids in (lambda k: None, lambda k: 7):  # rows are judged by their own texts, whatever their ids
+        kept = decontaminate.drop_contaminated(spark.createDataFrame([(ids(k), t) for k, t in docs], "doc_id long, text string"), b)
+        assert sorted(x.text for x in kept.collect()) == sorted(t for k, t in docs if k not in bad)
+
+
 def tables(spark):
     r = random.Random(9)
     word = lambda: f"t{r.randrange(2000)}"

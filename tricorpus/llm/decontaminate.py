@@ -5,12 +5,15 @@ ignored words were replaced still has the same hash. Hashes of all windows of th
 benchmark; each hit fixes an alignment (document word minus item word), and the words on it are compared: an
 item is found in a document if some `window` aligned words (the whole item, if shorter) are equal but for `substitutions` of them.
 
-With the two masks, windows of 13 words with any two, of 16 with any three, or of 20 with any four words replaced always have
-a hit (a test enumerates them). Items of fewer than `least` words are not searched: they would match ordinary text.
+With the three MASKS no allowed pattern of replaced words is missed in items of 8 words and more; shorter items have masks of their own, used only where
+the benchmark has such items (a test enumerates all patterns). `contaminated` leaves items of fewer than `least` words out; the query and the
+pipeline's stage search every item that has a word.
 
 Words here are runs of letters and digits, in lower case. The hashes of the benchmark are broadcast only where Spark's own
 size limit allows; else both sides are shuffled by hash, as short rows without text.
 
+Candidates are kept by the text, not by the id, and gathered for each text, so a text is split once however many hits it has.
+
 Result, one row for each document and item: doc_id, item_id, start_word (where the item's first word lies or would lie),
 item_words, equal_words (on the alignment), window_words and window_equal (of its best window). Nulls: a null text has no
 words; rows with a null id are searched, and the id in the result is null. Repeated rows or ids give one result row with their best
@@ -24,7 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import plain_docs, real_id
 
-MASKS = ("110111", "1101000111")
+MASKS = ("110111", "1101000111", "11001011")
+SHORT = {1: ("1",), 2: ("11",), 3: ("111",), 4: ("1111",), 5: ("1111", "11011", "10111", "11101"), 6: ("1111", "11011"), 7: ("1111", "11011")}
 SPLIT = r"[^\p{L}\p{N}]+"
 
 
@@ -32,40 +36,67 @@ def words_of(text: Column | str) -> Column:
     return F.array_remove(F.split(F.lower(text), SPLIT), "")
 
 
-def seeds(rows: DataFrame, row_id: str, masks: tuple[str, ...] = MASKS) -> DataFrame:
+def masks_for(words: int) -> tuple[str, ...]:
+    """The masks that find items of so many words: the first two are enough for all but some lengths."""
+    return SHORT[words] if words in SHORT else MASKS if words in (8, 10, 11, 15) else MASKS[:2]
+
+
+def seeds(rows: DataFrame, row_id: str, masks: list[str]) -> DataFrame:
     """(row_id, pos, seed) of all masked windows of rows(row_id, words)."""
     at = rows.select(row_id, "words", F.size("words").alias("n"), F.posexplode_outer("words").alias("pos", "word"))  # outer: else Spark filters on size(words) first, splitting texts twice
-    hashes = [F.when(F.col("pos") + len(m) <= F.col("n"), F.xxhash64(F.lit(k), *(F.get("words", F.col("pos") + i) for i, c in enumerate(m) if c == "1"))) for k, m in enumerate(masks)]
+    hashes = [F.when(F.col("pos") + len(m) <= F.col("n"), F.xxhash64(F.lit(m), *(F.get("words", F.col("pos") + i) for i, c in enumerate(m) if c == "1"))) for m in masks]
     return at.select(row_id, "pos", F.explode(F.array(*hashes)).alias("seed")).where("seed is not null")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 16, substitutions: float = 0.2, least: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    docs = plain_docs(docs, id_col, text_col)
-    items = benchmark.select(F.col("item_id"), words_of(F.coalesce("text", F.lit(""))).alias("words")).where(F.size("words") >= least).distinct()
+def _found(docs: DataFrame, benchmark: DataFrame, window: int, substitutions: float, least: int) -> DataFrame:
+    """(doc_id, text_key, item_id, s) of docs(doc_id, text): every alignment that has enough equal words."""
+    docs = docs.withColumn("text_key", F.xxhash64("text"))
+    items = benchmark.select(F.col("item_id"), words_of(F.coalesce("text", F.lit(""))).alias("words")).where(F.size("words") >= max(1, least)).distinct()
     keyed = items.select(F.xxhash64("item_id", "words").alias("item_key"), "item_id", F.col("words").alias("item"))
-    item_seeds = seeds(keyed.select("item_key", F.col("item").alias("words")), "item_key").select("item_key", F.col("pos").alias("item_pos"), "seed")
-    hits = seeds(docs.select("doc_id", words_of("text").alias("words")), "doc_id").join(item_seeds, "seed")
-    aligned = hits.select("doc_id", "item_key", (F.col("pos") - F.col("item_pos")).alias("start")).distinct()
-    both = docs.join(aligned.join(keyed, "item_key"), "doc_id").select("doc_id", "item_id", "item", "start", words_of("text").alias("words"))
-    # slice to the aligned words first, so that no row carries a long text on
-    lead = F.greatest(-F.col("start"), F.lit(0))
-    part = F.slice("words", F.greatest(F.col("start"), F.lit(0)) + 1, F.greatest(F.size("item") - lead, F.lit(0)))
-    cut = both.select("doc_id", "item_id", "item", "start", lead.alias("lead"), part.alias("part"))
+    short = items.where(F.size("words") < window).select(F.size("words").alias("n")).distinct().collect()  # under `window` numbers
+    masks = list(dict.fromkeys(m for n in sorted({window} | {r.n for r in short}) for m in masks_for(n)))
+    item_seeds = seeds(keyed.select("item_key", F.col("item").alias("words")), "item_key", masks).select("item_key", F.col("pos").alias("item_pos"), "seed")
+    hits = seeds(docs.select("text_key", words_of("text").alias("words")), "text_key", masks).join(item_seeds, "seed")
+    aligned = hits.select("text_key", "item_key", (F.col("pos") - F.col("item_pos")).alias("start")).distinct().join(keyed.select("item_key", F.size("item").alias("n")), "item_key")
+    of_text = aligned.groupBy("text_key").agg(F.collect_list(F.struct("item_key", "start", "n")).alias("hits"))
+    # a generator, so that Spark doesn't split the text anew for each hit; then the aligned words alone, so that no row carries a long text on
+    split = docs.join(of_text, "text_key").select("doc_id", "text_key", "hits", F.explode(F.array(words_of("text"))).alias("words"))
+    lead = lambda h: F.greatest(-h["start"], F.lit(0))
+    part = lambda h: F.slice("words", F.greatest(h["start"], F.lit(0)) + 1, F.greatest(h["n"] - lead(h), F.lit(0)))
+    parts = split.select("doc_id", "text_key", F.explode(F.transform("hits", lambda h: F.struct(h["item_key"].alias("item_key"), h["start"].alias("start"), lead(h).alias("lead"), part(h).alias("part")))).alias("h"))
+    both = parts.select("doc_id", "text_key", "h.*").join(keyed, "item_key")
     equal = F.zip_with(F.concat(F.array_repeat(F.lit(None).cast("string"), F.col("lead")), "part"), "item", lambda a, b: F.coalesce((a == b).cast("int"), F.lit(0)))
-    scored = cut.select("doc_id", "item_id", "start", F.size("item").alias("item_words"), F.least(F.size("item"), F.lit(window)).alias("w"), equal.alias("e"))
+    scored = both.select("doc_id", "text_key", "item_id", "start", F.size("item").alias("item_words"), F.least(F.size("item"), F.lit(window)).alias("w"), equal.alias("e"))
     total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)
     best = F.array_max(F.transform(F.sequence(F.lit(1), F.col("item_words") - F.col("w") + 1), lambda i: total(F.slice("e", i, F.col("w")))))
-    scored = scored.select("doc_id", "item_id", F.struct(best.alias("window_equal"), total("e").alias("equal_words"), (-F.col("start")).alias("back"), "item_words", F.col("w").alias("window_words")).alias("s"))
-    enough = F.col("s.window_equal") >= F.ceil(F.col("s.window_words") * F.lit(1 - substitutions))
-    found = scored.where(enough).groupBy("doc_id", "item_id").agg(F.max("s").alias("s"))
+    s = F.struct(best.alias("window_equal"), total("e").alias("equal_words"), (-F.col("start")).alias("back"), "item_words", F.col("w").alias("window_words"))
+    return scored.select("doc_id", "text_key", "item_id", s.alias("s")).where(F.col("s.window_equal") >= F.ceil(F.col("s.window_words") * F.lit(1 - substitutions)))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 16, substitutions: float = 0.2, least: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    found = _found(plain_docs(docs, id_col, text_col), benchmark, window, substitutions, least).groupBy("doc_id", "item_id").agg(F.max("s").alias("s"))
     return found.select(real_id(), "item_id", (-F.col("s.back")).alias("start_word"), *(f"s.{c}" for c in ("item_words", "equal_words", "window_words", "window_equal")))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs whose text holds no benchmark item, with all their columns; rows with a null doc_id are judged together."""
-    bad = contaminated(docs, benchmark).select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("__bad")).distinct()
-    return docs.join(bad, F.coalesce(docs["doc_id"], F.lit(2**63 - 1)) == bad["__bad"], "left_anti")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 16, substitutions: float = 0.2, least: int = 1) -> DataFrame:
+    """The rows of docs whose text holds no benchmark item, with all their columns; each row is judged by its own text."""
+    bad = _found(plain_docs(docs), benchmark, window, substitutions, least).select(F.col("text_key").alias("__bad")).distinct()
+    return docs.join(bad, F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == bad["__bad"], "left_anti")
+
 
+#: DuckDB SQL for contaminated(documents, benchmark, least=1) from the definition, without seeds: all alignments with enough equal words.
+ORACLE_ALL = r"""
+with d as (select doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') w from documents),
+b as (select item_id, w, len(w) n, row_number() over () k from (select distinct item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') w from benchmark) where len(w) >= 1),
+dp as (select doc_id, unnest(range(1, len(w) + 1)) p, unnest(w) x from d),
+bp as (select k, item_id, n, unnest(range(1, n + 1)) p, unnest(w) x from b),
+e as (select doc_id, k, item_id, n, dp.p - bp.p st, bp.p j from dp join bp on dp.x = bp.x),
+al as (select doc_id, k, item_id, n, st, count(*) te, list(j) js from e group by all having count(*) >= ceil(least(n, 16) * 0.8)),
+wn as (select *, unnest(range(1, n - least(n, 16) + 2)) a from al),
+bw as (select doc_id, item_id, n, st, te, max(len(list_filter(js, lambda j: j >= a and j < a + 16))) ws from wn group by all),
+ok as (select *, row_number() over (partition by doc_id, item_id order by ws desc, te desc, st) r from bw where ws >= ceil(least(n, 16) * 0.8))
+select doc_id, item_id, cast(st as int) start_word, cast(n as int) item_words, cast(te as int) equal_words, cast(least(n, 16) as int) window_words, cast(ws as int) window_equal from ok where r = 1
+"""
 
 #: DuckDB SQL for contaminated(documents, benchmark) with the parameters above; seeds are compared as the words themselves.
 ORACLE = r"""

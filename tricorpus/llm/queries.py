@@ -34,7 +34,7 @@ def op5_prefix_target_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), least=1)
 
 
 def op7_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,6 +71,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op5_prefix_target_chat": chat.ORACLE,
-    "op6_spaced_seed_decontamination": decontaminate.ORACLE,
+    "op6_spaced_seed_decontamination": decontaminate.ORACLE_ALL,
     "op9_difference_cover_dedup": substring_dedup.ORACLE,
 }
