@@ -1,6 +1,8 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from tricorpus.llm import quality
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -62,6 +64,53 @@ def test_a_small_language_of_a_large_corpus_is_judged(spark):
     assert quality.keep_good(df).count() == 32_000 + 59
 
 
+def test_verdicts_equal_a_plain_version(spark):
+    """References, distances and limits from their definition, for languages of 1, 2, 3, 25 and 60 documents, in a table that joins the small ones and in one that doesn't."""
+    import math
+    from collections import Counter
+
+    r = random.Random(8)
+    vocabulary = ["".join(r.choice("etaoinshrdluß9#") for _ in range(r.randint(2, 8))) for _ in range(400)]
+    texts = lambda n: [" ".join(r.choices(vocabulary, [1 / (k + 1) for k in range(400)], k=r.randint(50, 220))) for _ in range(n)]
+    rows = [(t, lang) for lang, n in (("a", 1), ("b", 2), ("c", 3), ("d", 25), ("e", 60)) for t in texts(n)]
+    rows += [(" ".join(f"{r.randrange(10**6)}|" for _ in range(80)), lang) for lang in "de" for _ in range(3)] + [(None, "d"), ("short text", "f"), (texts(1)[0], None)]
+    limits = quality.Limits()
+    shares = lambda counts: {k: n * 10**6 // sum(counts.values()) for k, n in counts.items()}
+    kind = lambda c: "lower" if "a" <= c <= "z" else "upper" if "A" <= c <= "Z" else "digit" if c in "0123456789" else "space" if c in " \t\n\v\f\r" else "symbol" if c in "#*$%&|<>" else "ascii" if c < "\x80" else "beyond"
+    words = lambda t: [w.lower().strip(".,;:!?\"'()") for w in WORD.findall(t)]
+
+    def distance(p, q):
+        p, q = ({k: v / sum(x.values()) for k, v in x.items()} for x in (p, q))
+        m = {k: (p.get(k, 0) + q.get(k, 0)) / 2 for k in p | q}
+        return math.sqrt(sum(x[k] * math.log2(x[k] / m[k]) for x in (p, q) for k in x if x[k]) / 2)
+
+    judged = {}
+    for lang in {x or "" for _, x in rows}:
+        own = [t for t, x in rows if (x or "") == lang and len(words(t or "")) >= limits.min_words]
+        chars, counts, having = Counter(), Counter(), Counter()
+        for t in own:
+            chars.update(shares(Counter(map(kind, t))))
+            counts.update(shares(Counter(words(t))))
+            having.update(set(words(t)))
+        common = {w for w in having if having[w] >= limits.common_share * len(own)}
+        reference = {w: counts[w] // len(own) for w in common}
+        reference[None] = 10**6 - sum(reference.values())
+        for t in own:
+            slack = lambda of: of / math.sqrt(len(words(t))) + limits.docs_slack / math.sqrt(len(own))
+            one = distance(Counter(map(kind, t)), {k: n // len(own) for k, n in chars.items()})
+            two = distance(Counter(w if w in common else None for w in words(t)), reference)
+            judged[t, lang] = one, two, not (expected(t)[5] or one > limits.chars + slack(limits.chars_slack) or two > limits.words + slack(limits.words_slack))
+    assert len({k for _, _, k in judged.values()}) == 2
+    df = spark.createDataFrame([(k, *x) for k, x in enumerate(rows)], "doc_id long, text string, lang string")
+    many = df.union(spark.range(1000, 90_000).select("id", F.lit(" ".join(["and"] * 60)), F.lit("zz")))
+    for table in (df, many):
+        for x in quality.quality(table).where("doc_id < 1000").collect():
+            t, lang = rows[x.doc_id]
+            one, two, kept = judged.get((t, lang or ""), (None, None, not expected(t)[5]))
+            assert x.kept == kept and (x.js_chars is None) == (one is None)
+            assert one is None or (abs(x.js_chars - one) < 1e-6 and abs(x.js_words - two) < 1e-6)
+
+
 def test_js_distance():
     import numpy as np
 

@@ -3,10 +3,11 @@
 Each language has two reference histograms, both means over its documents of at least `min_words` words, in whole parts per
 million so that sums don't depend on order: the shares of character classes, and the shares of the language's common words
 (those in at least `common_share` of its documents) with all other words as one. A document whose Jensen-Shannon distance
-to its language's reference passes a limit is rejected. Guards: documents of under `min_words` words are not judged by
-divergence, nor are languages with fewer than `min_docs` documents. The references of languages with a thousandth of all documents
-or more (so at most a thousand, of at most `max_common` words) are sent to the executors; those of smaller languages, however many,
-are joined to their documents.
+to its language's reference passes a limit is rejected. Guard: documents of under `min_words` words are not judged by
+divergence. Every language is judged: the limits rise by slack / sqrt(n) both in the words of the document and in the documents of the reference,
+as small samples stray further, and a language of one document is its own reference. A language has at most (mean distinct words of a
+document) / common_share common words. The references of languages with a thousandth of all documents or more (so at most a thousand) are sent to the executors; those
+of smaller languages, however many, are joined to their documents, with the same verdicts.
 
 The base rule rejects documents of fewer than 10 words, and those with over a fifth of their words in repeated 5-word windows.
 
@@ -42,13 +43,12 @@ MILLION = 1_000_000
 @dataclass(frozen=True)
 class Limits:
     min_words: int = 50
-    min_docs: int = 20
     common_share: float = 0.1
-    max_common: int = 256
     chars: float = 0.13
     words: float = 0.36
     chars_slack: float = 1.5  # the limits rise by slack / sqrt(n_words): small samples stray further
     words_slack: float = 2.0
+    docs_slack: float = 0.4
 
 
 def _byte_counts(text: bytes) -> np.ndarray:
@@ -125,26 +125,25 @@ def reference_counts(docs: DataFrame, limits: Limits) -> DataFrame:
     return rows.groupBy("lang", "kind", "item").agg(F.sum("docs").alias("docs"), F.sum("ppm").alias("ppm"))
 
 
-Reference = tuple[np.ndarray, dict[bytes, int], np.ndarray]
+Reference = tuple[np.ndarray, dict[bytes, int], np.ndarray, int]
 
 
-def _reference(n: int, items: list, limits: Limits) -> Reference:
-    """Class shares, places of the common words, their shares and last that of all others, from a language's n and (kind, item, docs, ppm)."""
+def _reference(n: int, items: list) -> Reference:
+    """Class shares, places of the common words, their shares and last that of all others, and n, from a language's n and (kind, item, docs, ppm)."""
     chars = np.zeros(CLASSES)
     for kind, item, _, ppm in items:
         if kind == "class":
             chars[int(item)] = ppm // n
-    # the words that pass number at most (mean distinct words of a document) / common_share in each language
-    common = sorted((r for r in items if r[0] == "word"), key=lambda r: (-r[2], r[1]))[: limits.max_common]
+    common = sorted((r for r in items if r[0] == "word"), key=lambda r: (-r[2], r[1]))
     words = np.array([r[3] // n for r in common], float)
-    return chars, {r[1].encode(): i for i, r in enumerate(common)}, np.append(words, max(0, MILLION - words.sum()))
+    return chars, {r[1].encode(): i for i, r in enumerate(common)}, np.append(words, max(0, MILLION - words.sum())), n
 
 
 def language_references(docs: DataFrame, limits: Limits) -> tuple[dict[str, Reference], DataFrame | None]:
-    """References by language, and a table (__of, __chars, __items, __words) of those of languages under a thousandth, if there are any."""
+    """References by language, and a table (__of, __chars, __items, __words, __n) of those of languages under a thousandth, if there are any."""
     counts = cut(reference_counts(docs, limits), "references")  # read several times below
     share = F.lit(limits.common_share)
-    of = counts.where("kind = 'docs'").select("lang", F.col("docs").alias("n")).where(F.col("n") >= limits.min_docs)
+    of = counts.where("kind = 'docs'").select("lang", F.col("docs").alias("n"))
     total, least = of.agg(F.sum("n"), F.min("n")).first()
     if not total:
         return {}, None
@@ -154,19 +153,19 @@ def language_references(docs: DataFrame, limits: Limits) -> tuple[dict[str, Refe
     for r in picked.where(1000 * F.col("n") >= total).toLocalIterator():
         rows.setdefault(r.lang, []).append((r.kind, r.item, r.docs, r.ppm))
         size[r.lang] = r.n
-    out = {lang: _reference(size[lang], items, limits) for lang, items in rows.items()}
+    out = {lang: _reference(size[lang], items) for lang, items in rows.items()}
     if 1000 * least >= total:
         return out, None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [_reference(n, [tuple(x.values()) for x in items], limits) for n, items in zip(batch.column("n").to_pylist(), batch.column("items").to_pylist())]
-            cols = [[x[0].tolist() for x in found], [[w.decode() for w in x[1]] for x in found], [x[2].tolist() for x in found]]
-            kinds = [pa.list_(pa.float64()), pa.list_(pa.string()), pa.list_(pa.float64())]
-            yield pa.RecordBatch.from_arrays([batch.column("lang"), *map(pa.array, cols, kinds)], ["__of", "__chars", "__items", "__words"])
+            found = [_reference(n, [tuple(x.values()) for x in items]) for n, items in zip(batch.column("n").to_pylist(), batch.column("items").to_pylist())]
+            cols = [[x[0].tolist() for x in found], [[w.decode() for w in x[1]] for x in found], [x[2].tolist() for x in found], [x[3] for x in found]]
+            kinds = [pa.list_(pa.float64()), pa.list_(pa.string()), pa.list_(pa.float64()), pa.int64()]
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), *map(pa.array, cols, kinds)], ["__of", "__chars", "__items", "__words", "__n"])
 
     small = picked.where(1000 * F.col("n") < total).groupBy("lang", "n").agg(F.collect_list(F.struct("kind", "item", "docs", "ppm")).alias("items"))
-    return out, cut(small.mapInArrow(run, "__of string, __chars array<double>, __items array<string>, __words array<double>"), "small-references")
+    return out, cut(small.mapInArrow(run, "__of string, __chars array<double>, __items array<string>, __words array<double>, __n long"), "small-references")
 
 
 def js_distance(counts: np.ndarray, reference: np.ndarray) -> np.ndarray:
@@ -211,7 +210,7 @@ def judge(docs: DataFrame, references: dict[str, Reference], small: DataFrame |
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, rolling = WordHashes(), RollingHash(0xA0761D6478BD642F)
-        places = {lang: Places(place) for lang, (_, place, _) in references.items()}
+        places = {lang: Places(place) for lang, (_, place, _, _) in references.items()}
         joined: dict[str, tuple[Reference, Places]] = {}
         for batch in row_slices(batches, "__text"):
             texts = byte_texts(batch, "__text")
@@ -222,27 +221,29 @@ def judge(docs: DataFrame, references: dict[str, Reference], small: DataFrame |
             classes = (chars @ _TO_CLASS)[:, :CLASSES]
             dup = [len(x) - len(set(x)) for x in ([line for line in t.split(b"\n") if line.strip()] for t in texts)]
             js = np.full((2, len(texts)), np.nan)
+            known = np.ones(len(texts))
             by_lang: dict[str, list[int]] = {}
             for i, lang in enumerate(batch.column("__lang").to_pylist()):
                 if lens[i] >= limits.min_words and (lang in references or ("__of" in batch.schema.names and batch.column("__of")[i].is_valid)):
                     by_lang.setdefault(lang, []).append(i)
             for lang, rows in by_lang.items():
                 if lang in references:
-                    (shares, _, words), place = references[lang], places[lang]
+                    (shares, _, words, n), place = references[lang], places[lang]
                 else:
                     if lang not in joined:
                         if len(joined) >= 100:
                             joined.clear()
-                        chars_of, items, words_of = (batch.column(c)[rows[0]].as_py() for c in ("__chars", "__items", "__words"))
-                        at = {w.encode(): n for n, w in enumerate(items)}
-                        joined[lang] = (np.array(chars_of), at, np.array(words_of)), Places(at)
-                    (shares, _, words), place = joined[lang]
+                        chars_of, items, words_of, n = (batch.column(c)[rows[0]].as_py() for c in ("__chars", "__items", "__words", "__n"))
+                        at = {w.encode(): i for i, w in enumerate(items)}
+                        joined[lang] = (np.array(chars_of), at, np.array(words_of), n), Places(at)
+                    (shares, _, words, n), place = joined[lang]
+                known[rows] = n
                 js[0, rows] = js_distance(classes[rows], shares)
                 found = np.stack([place.counts(lists[i]) for i in rows])
                 js[1, rows] = js_distance(found, words)
-            root = np.sqrt(np.maximum(lens, 1))
+            root, more = np.sqrt(np.maximum(lens, 1)), limits.docs_slack / np.sqrt(known)
             failed = (lens < 10) | (100 * repeats > 20 * lens)
-            odd = (js[0] > limits.chars + limits.chars_slack / root) | (js[1] > limits.words + limits.words_slack / root)  # not a number: not judged
+            odd = (js[0] > limits.chars + limits.chars_slack / root + more) | (js[1] > limits.words + limits.words_slack / root + more)  # not a number: not judged
             spaces = chars[:, SPACE].sum(axis=1)
             cols = [lens, classes.sum(axis=1) - spaces, chars[:, SYMBOLS].sum(axis=1), np.array(dup, np.int64), repeats, failed, ~failed & ~odd]
             arrays = [batch.column(c) for c in carry] + [pa.array(c) for c in cols] + [pa.array(np.round(x, 9), mask=np.isnan(x)) for x in js]
