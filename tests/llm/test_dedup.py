@@ -163,6 +163,14 @@ def test_keep_first_has_one_of_each_group(docs, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def test_keep_first_of_rows_without_ids_or_with_one_id(spark):
+    r = random.Random(14)
+    texts = [" ".join(prose(r, 40, 3000)) for _ in range(6)]
+    rows = [(None, t, "x") for t in texts + texts[:3]] + [(1, texts[0], "y"), (7, texts[4], "y"), (7, texts[5], "z"), (7, texts[5], "z")]
+    kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string, __n string"))
+    assert sorted(map(tuple, kept.collect()), key=repr) == sorted([(1, texts[0], "y"), (7, texts[4], "y"), (7, texts[5], "z")] + [(None, t, "x") for t in texts[1:4]], key=repr)
+
+
 def passages(df, **options):
     return {(r.doc_id, r.start_word, r.end_word, r.first_doc_id, tuple(sorted((c.a, c.b) for c in r.cuts))) for r in suffix_dedup.repeated_passages(df, **options).collect()}
 

@@ -1,4 +1,4 @@
-"""Helpers that the corpus operators share: words, hashes, cut lineage, components.
+"""Helpers that the corpus operators share: words, hashes, plain rows.
 
 Words everywhere are maximal runs of bytes other than ``\\x20`` and ``\\x09-\\x0D``
 (``bytes.split()`` splits on exactly these six), taken from the UTF-8 text.
@@ -6,10 +6,6 @@ Words everywhere are maximal runs of bytes other than ``\\x20`` and ``\\x09-\\x0
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 from itertools import chain
 
@@ -17,39 +13,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..lineage import cut  # noqa: F401
+
 SLICE_BYTES = 4 << 20
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 NO_ID = 2**63 - 1  # stands for a null id: greater than every other
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a temporary one only where that is unset."""
-    told = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if told:
-        return f"{told.rstrip('/')}/tricorpus-{spark.sparkContext.applicationId}"
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = tempfile.mkdtemp(prefix="tricorpus-")
-        atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
-    return _own[app]
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: lineage ends there, so a lost
-    executor costs only the stage that reads it. Shuffle files of the write are dropped after it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
 
 
 def row_slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -129,29 +99,3 @@ def plain_docs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def real_id(name: str = "doc_id"):
     """The id column with NO_ID as null again."""
     return F.when(F.col(name) != NO_ID, F.col(name)).alias(name)
-
-
-def connected_components(edges: DataFrame) -> DataFrame:
-    """(node, component) for edges(a, b) of longs; component is the least node that can be reached.
-
-    Alternating large-star and small-star rounds (Kiveris et al., 2014) with minima and joins only: no
-    neighbour list is ever gathered, so a node with very many links is split by the join like any other
-    key. Each round is written to the shared folder; the loop ends when a round leaves the edges as they were.
-    """
-    tight = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    tight = cut(tight, "edges")
-    known = None
-    while True:
-        # large star: every greater neighbour of u goes to the least of u and its neighbours
-        both = tight.union(tight.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        # small star: u and its smaller neighbours go to the least of them
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        pairs = large.join(least, "u")
-        small = pairs.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(pairs.select("u", F.col("m").alias("v"))).distinct()
-        tight = cut(small, "stars")
-        state = tight.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("s")).first()
-        if (state.n, state.s) == known:
-            return tight.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        known = (state.n, state.s)

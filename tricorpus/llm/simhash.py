@@ -26,7 +26,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, byte_texts, connected_components, cut, plain_docs, real_id, row_slices
+from ..lineage import components as connected_components
+from .common import byte_texts, cut, plain_docs, real_id, row_slices
 
 SMALL, BLOCK = 24, 1024
 _LANES = np.uint64(0x0101010101010101)
@@ -67,14 +68,14 @@ def fingerprints_of(texts: list[bytes], k: int = 4) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, k: int = 4) -> DataFrame:
-    """(doc_id, fp) of docs(doc_id, text)."""
+def fingerprints(docs: DataFrame, k: int = 4, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The carried columns and fp of docs(doc_id, text, ...)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in row_slices(batches):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fingerprints_of(byte_texts(batch), k).view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carry), pa.array(fingerprints_of(byte_texts(batch), k).view(np.int64))], [*carry, "fp"])
 
-    return docs.mapInArrow(run, "doc_id long, fp long")
+    return docs.mapInArrow(run, ", ".join(f"{c} long" for c in (*carry, "fp")))
 
 
 def segments(distance: int) -> list[tuple[int, int]]:
@@ -221,13 +222,18 @@ def bucket_links(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[p
 
 
 def components(prints: DataFrame, distance: int = 4) -> DataFrame:
-    """(doc_id, fp, component_id) for prints(doc_id, fp); component_id is the least doc_id of those linked, directly or not."""
+    """prints(doc_id, fp, ...) with component_id, the least doc_id of those linked, directly or not."""
+    return prints.join(named(prints, distance).select("fp", "component_id"), "fp").select(*prints.columns, "component_id")
+
+
+def named(prints: DataFrame, distance: int) -> DataFrame:
+    """(fp, component, component_id) of each fingerprint of prints(doc_id, fp)."""
     nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     ordered = variants(nodes, distance).repartition("key").sortWithinPartitions("key")
     links = ordered.mapInArrow(lambda batches: bucket_links(batches, distance), "a long, b long")
     found = cut(nodes.join(connected_components(links).withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component")), "named")
-    least = found.groupBy("component").agg(F.min("least").alias("component_id"))
-    return prints.join(found.join(least, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    least = cut(found.groupBy("component").agg(F.min("least").alias("component_id")), "component-ids")  # written first, so that Spark can split a hot component
+    return found.join(least, "component").select("fp", "component", "component_id")
 
 
 def near_duplicates(docs: DataFrame, k: int = 4, distance: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -238,12 +244,19 @@ def near_duplicates(docs: DataFrame, k: int = 4, distance: int = 4, id_col: str
 
 
 def keep_first(docs: DataFrame, k: int = 4, distance: int = 4) -> DataFrame:
-    """The rows of docs(doc_id, text, ...) with the least doc_id of each component, with all their columns. Of rows that share that
-    doc_id, those with different texts all stay, and one of those with the same text."""
-    found = components(cut(fingerprints(plain_docs(docs), k), "fingerprints"), distance)
-    first = found.where("doc_id = component_id").select(F.col("doc_id").alias("__first")).distinct()
-    kept = docs.join(first, F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == first["__first"], "left_semi")
-    return kept.dropDuplicates(["doc_id", "text"]) if found.groupBy("doc_id").count().where("count > 1").take(1) else kept
+    """One row of docs(doc_id, text, ...) of each component, with all its columns: that with the least doc_id, and of several with that id
+    the one with the least hash of id and text. Rows without an id come after all others. Of rows with equal id and text one stays."""
+    key = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")))
+    keyed = plain_docs(docs).withColumn("__row", F.xxhash64(real_id(), "text"))
+    prints = cut(fingerprints(keyed, k, ("doc_id", "__row")), "fingerprints")
+    rows = prints.groupBy("fp").agg(F.min(F.struct("doc_id", "__row")).alias("first"))
+    firsts = named(prints, distance).join(rows, "fp").groupBy("component").agg(F.min("first").alias("first"))
+    same = prints.groupBy("__row").agg(F.count(F.lit(1)).alias("__n"))
+    picked = cut(firsts.select("first.__row").distinct().join(same, "__row"), "firsts")
+    keyed = docs.withColumn("__row", key)
+    alone = keyed.join(picked.where("__n = 1"), "__row", "left_semi")
+    again = keyed.join(picked.where("__n > 1"), "__row", "left_semi").dropDuplicates(["__row"])
+    return alone.union(again).drop("__row")
 
 
 def brute_force(rows: list[tuple[int | None, str | None]], k: int = 4, distance: int = 4) -> list[tuple]:
