@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 
 _BRACKETS = re.compile(r"\(([^()]{2,})\)")
 
@@ -30,17 +31,28 @@ def _long_form(short: str, before: str) -> str | None:
     return found
 
 
+def _words_before(text: str, begin: int, end: int, most: int) -> str:
+    """The last `most` words of text[begin:end], looking no further back than these."""
+    width = 256
+    while True:
+        start = max(begin, end - width)
+        words = text[start:end].rstrip().split(" ")
+        if start == begin or len(words) > most:
+            return " ".join(words[-most:])
+        width *= 2
+
+
 def find_pairs(text: str | None, lower_aliases: bool = True) -> list[dict]:
     """(abbr, definition) pairs in order of appearance, a later definition of the same form in the earlier one's place; then, if asked
     for, each in lower case."""
     pairs: dict[str, str] = {}
+    starts = [0, *(m.end() for m in re.finditer(r"[.!?\n]\s", text or ""))] if text and "(" in text else [0]
     for m in _BRACKETS.finditer(text or ""):
         short = re.split(r"[,;]", m[1])[0].strip()
         if not _fits(short):
             continue
-        sentence = re.split(r"[.!?\n]\s", text[: m.start()])[-1].rstrip()
-        words = sentence.split(" ")[-min(len(short) + 5, len(short) * 2) :]
-        if found := _long_form(short, " ".join(words)):
+        sentence = starts[bisect_right(starts, m.start()) - 1]
+        if found := _long_form(short, _words_before(text, sentence, m.start(), min(len(short) + 5, len(short) * 2))):
             pairs[short] = found
     if lower_aliases:
         for k, v in list(pairs.items()):

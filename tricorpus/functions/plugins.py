@@ -137,15 +137,60 @@ def no_coreferences(text: Column) -> Column:
     return F.array().cast("array<array<struct<start:int,end:int>>>")
 
 
+def strip_tags(page: str) -> str:
+    """A page without scripts, styles and tags, each character looked at once: what isn't closed isn't looked for again."""
+    out, at, missing = [], 0, set()
+    while opened := _BLOCK_START.search(page, at):
+        kind = opened[1].lower()
+        closed = None if kind in missing else _BLOCK_END[kind].search(page, opened.end())
+        if closed:
+            out += [page[at : opened.start()], " "]
+        else:
+            missing.add(kind)
+            out.append(page[at : opened.end()])
+        at = closed.end() if closed else opened.end()
+    page = "".join([*out, page[at:]])
+    out, at = [], 0
+    while (a := page.find("<", at)) >= 0 and (b := page.find(">", a)) >= 0:
+        out += [page[at:a], " "]
+        at = b + 1
+    return re.sub(r"[ \t]+", " ", "".join([*out, page[at:]])).strip()
+
+
+_BLOCK_START = re.compile(r"(?i)<(script|style)\b")
+_BLOCK_END = {k: re.compile(rf"(?i)</{k}\s*>") for k in ("script", "style")}
+
+
 def html_text(content: Column) -> Column:
     """Text of an HTML page, or of bytes that hold one: tags, scripts and styles dropped."""
+    return extracted(strip_tags)(content)
+
+
+def extracted(extract: Callable[[str], str]) -> Plugin:
+    """A plug-in for texts of files, from a function of one page's text; a file on which it fails has an empty text."""
 
     def run(values: list) -> list:
         out = []
         for v in values:
-            s = v.decode("utf-8", "replace") if isinstance(v, bytes | bytearray) else v or ""
-            s = re.sub(r"(?is)<(script|style)\b.*?</\1\s*>", " ", s)
-            out.append(re.sub(r"[ \t]+", " ", re.sub(r"(?s)<[^>]*>", " ", s)).strip())
+            try:
+                out.append(extract(v.decode("utf-8", "replace") if isinstance(v, bytes | bytearray) else v or ""))
+            except Exception:  # noqa: BLE001  one bad file must not end the others' work
+                out.append("")
         return out
 
-    return from_python(run, "string")(content)
+    return from_python(run, "string")
+
+
+def detected(detect: Callable[[str], str], sizes: tuple[int, ...] = (1300, 514)) -> Plugin:
+    """A language plug-in from a detector of one text: it gets the first characters of the text, fewer where it fails, and the label is "err" where
+    it fails each time."""
+
+    def one(text: str) -> str:
+        for n in sizes:
+            try:
+                return detect(text[:n])
+            except Exception:  # noqa: BLE001  detectors fail on texts they can't tell
+                continue
+        return "err"
+
+    return from_python(lambda values: [one(v or "") for v in values], "string")

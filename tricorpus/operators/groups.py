@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .triplets import ROLES
 
+CHOICES = 65_536
 LEAST_SHARE = 0.25
 KINDS = ("first", "other", "mixed")
 
@@ -30,22 +31,29 @@ def _kinds(n_first: Column, n_other: Column) -> list[tuple[str, Column, Column]]
     return [("first", n_first > 1, n_first), ("other", n_other > 1, n_other), ("mixed", mixed, total)]
 
 
-def fair_groups(rows: DataFrame, categories: DataFrame, one_per_paper: bool = True, first: str = "cs", max_product: int = 100_000) -> DataFrame:
+def fair_groups(rows: DataFrame, categories: DataFrame, one_per_paper: bool = True, first: str = "cs", max_product: int | None = None) -> DataFrame:
     """(kind, size, group_id, members) of all groups.
 
     With one_per_paper a cluster gives every choice of one of its triplets a paper, else itself. A group gives its members of the first category if
     they are over one, those of the others likewise, and all of them if both kinds have over a quarter. Equal lists from different choices all
-    stay: they weigh in means. A cluster of more than max_product choices is an error; `group_sizes` and spread.mean_spread need no choices."""
+    stay: they weigh in means. Choices are numbered, and made from their numbers, CHOICES to a row at a time over all tasks, so no row holds them all. It
+    is an error if a cluster has more than max_product, if that is given, or than 2**62; `group_sizes` and spread.mean_spread need no choices."""
+    most = 2**62 if max_product is None else max_product
     t = F.struct(*ROLES, "paper", "is_first")
     known = with_category(rows, categories, first)
     if one_per_paper:
         papers = known.groupBy("cluster", "paper").agg(F.array_sort(F.collect_list(t)).alias("t"))
         lists = papers.groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("paper", "t"))).alias("papers"))
-        choices = F.aggregate("papers", F.lit(1.0), lambda n, p: n * F.size(p["t"]))
-        start = F.array(F.array().cast(f"array<{_type(known, t)}>"))
-        product = F.aggregate("papers", start, lambda groups, p: F.flatten(F.transform(groups, lambda g: F.transform(p["t"], lambda x: F.concat(g, F.array(x))))))
-        checked = F.when(choices <= max_product, product).otherwise(F.raise_error(F.lit("a cluster has more than max_product choices of one triplet a paper")))
-        groups = lists.select("cluster", F.posexplode(checked).alias("choice", "members"))
+        # strides[i]: choices among the papers after the i-th, so that the last paper changes fastest
+        sizes = F.reverse(F.transform("papers", lambda p: F.size(p["t"])))
+        product = lambda s: F.aggregate(s, F.lit(1.0), lambda n, k: n * k)
+        lists = lists.withColumn("sizes", sizes).withColumn("all", product("sizes"))
+        checked = F.when(F.col("all") <= float(most), F.col("all").cast("long")).otherwise(F.raise_error(F.lit("a cluster has more than max_product choices of one triplet a paper")).cast("long"))
+        strides = F.reverse(F.transform("sizes", lambda _, i: product(F.slice("sizes", F.lit(1), i)).cast("long")))
+        stretches = lists.select("cluster", "papers", strides.alias("strides"), checked.alias("all")).select("*", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("all") - 1).cast("long"), F.lit(CHOICES).cast("long"))).alias("begin"))
+        each = stretches.repartition("cluster", "begin").select("cluster", "papers", "strides", F.explode(F.sequence("begin", F.least(F.col("begin") + (CHOICES - 1), F.col("all") - 1))).alias("choice"))
+        member = lambda p, i: F.get(p["t"], (F.call_function("div", F.col("choice"), F.get("strides", i)) % F.size(p["t"])).cast("int"))
+        groups = each.select("cluster", "choice", F.transform("papers", member).alias("members"))
     else:
         groups = known.groupBy("cluster").agg(F.array_sort(F.collect_list(t)).alias("members")).select("cluster", F.lit(0).alias("choice"), "members")
     one, other = F.filter("members", lambda x: x["is_first"]), F.filter("members", lambda x: ~x["is_first"])
@@ -55,10 +63,6 @@ def fair_groups(rows: DataFrame, categories: DataFrame, one_per_paper: bool = Tr
     return out.select("g.kind", "g.size", F.concat_ws("#", "cluster", "choice").alias("group_id"), "g.members")
 
 
-def _type(rows: DataFrame, value: Column) -> str:
-    return rows.select(value.alias("v")).schema["v"].dataType.simpleString()
-
-
 def paper_counts(rows: DataFrame, categories: DataFrame, first: str = "cs") -> DataFrame:
     """(cluster, n_first, n_other, choices): papers of each kind, and how many choices of one triplet a paper there are."""
     papers = with_category(rows, categories, first).groupBy("cluster", "paper", "is_first").agg(F.count(F.lit(1)).alias("n"))

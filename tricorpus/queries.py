@@ -328,10 +328,11 @@ def triplet_lower(spark, d):
     return triplets.lower_case(fx(spark, d))
 
 
-@query(f"with {LOWER_SQL} select doc_id, pos, subject, verb, object || ' x y z' as object from lo where pos % 2 = 0 union all select {ROW} from lo where pos % 2 = 1 and len({WORDS_SQL.format('object')}) <= 6")
+@query(f"with {LOWER_SQL} select doc_id, pos, subject, verb, object || ' x y z' as object from lo where pos % 4 = 0 union all select {ROW} from lo where pos % 2 = 1 and len({WORDS_SQL.format('object')}) <= 6")
 def triplet_length(spark, d):
-    odd = F.col("pos") % 2 == 1
-    rows = triplets.lower_case(fx(spark, d)).withColumn("object", F.concat("object", F.when(odd, "").otherwise(" x y z")))
+    """Objects of six words stay, those of seven go."""
+    more = F.when(F.col("pos") % 4 == 0, " x y z").when(F.col("pos") % 4 == 2, " w x y z").otherwise("")
+    rows = triplets.lower_case(fx(spark, d)).withColumn("object", F.concat("object", more))
     return triplets.filter_length(rows, 6)
 
 

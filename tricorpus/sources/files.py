@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import ast
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,10 +40,10 @@ def metadata(spark: SparkSession, path: str) -> DataFrame:
 
 def texts(spark: SparkSession, path: str, recursive: bool = True, pattern: str | None = "*.txt") -> DataFrame:
     """(paper, text) of text files; papers of one name in different folders stay apart by `path`."""
-    reader = spark.read.option("wholetext", "true").option("recursiveFileLookup", str(recursive).lower())
+    reader = spark.read.option("recursiveFileLookup", str(recursive).lower())
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
-    return reader.text(path).select(F.col("_metadata.file_name").alias("paper"), F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    return reader.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("paper"), F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
 def categories_of(first: DataFrame, second: DataFrame, names: tuple[str, str] = ("cs", "quant")) -> DataFrame:
@@ -59,9 +60,10 @@ def triplet_lists(spark: SparkSession, path: str) -> DataFrame:
 def triplet_csv(spark: SparkSession, path: str) -> DataFrame:
     """TRIPLET_LISTS from a CSV file whose triplets column holds lists of tuples as text; they are read as literals, never run."""
 
-    @F.udf("array<struct<subject:string,verb:string,object:string>>")
-    def parse(value):
-        return None if value is None else [tuple(map(str, t)) for t in ast.literal_eval(value)]
+    @F.pandas_udf("array<struct<subject:string,verb:string,object:string>>")
+    def parse(values: pd.Series) -> pd.Series:
+        one = lambda v: [dict(zip(("subject", "verb", "object"), map(str, t))) for t in ast.literal_eval(v)]
+        return pd.Series([None if v is None else one(v) for v in values], dtype=object)
 
     raw = spark.read.schema("paper string, triplets string").options(header=True, multiLine=True, quote='"', escape='"').csv(path)
     return raw.select("paper", parse("triplets").alias("triplets"))
@@ -70,9 +72,9 @@ def triplet_csv(spark: SparkSession, path: str) -> DataFrame:
 def write_triplet_csv(lists: DataFrame, path: str) -> None:
     """The form that triplet_csv reads."""
 
-    @F.udf("string")
-    def form(value):
-        return repr([tuple(t) for t in value or []])
+    @F.pandas_udf("string")
+    def form(values: pd.Series) -> pd.Series:
+        return pd.Series([repr([(t["subject"], t["verb"], t["object"]) for t in (() if v is None else v)]) for v in values])
 
     lists.select("paper", form("triplets").alias("triplets")).write.options(header=True, quote='"', escape='"').csv(path)
 
@@ -85,6 +87,17 @@ def write_lines(rows: DataFrame, path: str, papers: DataFrame | None = None) ->
     lines.write.parquet(path)
 
 
+def write_texts(texts: DataFrame, path: str) -> None:
+    """A folder with one plain-text file for each of texts(paper, text), as read_texts finds them; for corpora of many papers prefer the Parquet of write_lines."""
+    texts.select("paper", F.coalesce("text", F.lit("")).alias("text")).repartition("paper").write.partitionBy("paper").text(path)
+
+
+def read_texts(spark: SparkSession, path: str) -> DataFrame:
+    """(paper, text) of write_texts; the line end that the writer puts at a text's end is taken off."""
+    raw = spark.read.schema("value string, paper string").text(path, wholetext=True)
+    return raw.select("paper", F.regexp_replace("value", "\\n$", "").alias("text"))
+
+
 def load_or_make(spark: SparkSession, path: str, make) -> DataFrame:
     """The table at path; made and written there first if there is none. Nothing is recomputed while it is there."""
     from pyspark.errors import AnalysisException

@@ -11,7 +11,7 @@ from ..plans.pipeline import claim_triplets, clean_texts
 
 def text_stream(spark: SparkSession, path: str, per_trigger: int = 1000) -> DataFrame:
     """(paper, text) of text files as they come into the folder."""
-    raw = spark.readStream.schema("value string").option("wholetext", "true").option("maxFilesPerTrigger", str(per_trigger)).text(path)
+    raw = spark.readStream.schema("value string").option("maxFilesPerTrigger", str(per_trigger)).text(path, wholetext=True)
     return raw.select(F.col("_metadata.file_name").alias("paper"), F.col("value").alias("text"))
 
 
