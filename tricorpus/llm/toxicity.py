@@ -3,14 +3,14 @@
 Labelled rows whose crc32(doc_id) modulo 5 is 0 are held out and never seen. Of the others, MAX_TRAIN at most (those with
 the least hash of their doc_id) are learned from; that bound is the one limit, and their whole texts are read. Words are in
 lower case (A-Z) without marks at their ends. Words that at least MIN_DOCS of these documents have and whose share differs between
-the classes by Z_LIMIT standard errors become features (the MAX_WORDS clearest), and all identity terms do.
+the classes by Z_LIMIT standard errors become features, and all identity terms do.
 
 Counterfactuals: in each training document every identity term is swapped for another of its language; a document without one
 gets one put in, in two versions. The loss adds LAMBDA times the mean squared change of score (in logits) between the versions, so what a
 text says of a group counts, not which group it names, nor that it names one.
 
-Scores need one pass over the documents with the weights (at most MAX_WORDS + the identity terms). Nulls: a null text is
-empty; a null label or doc_id isn't learned from; a null doc_id is held out (its crc32 is taken as 0). Repeated labels of a doc_id: toxic if any is. Every row of docs
+Scores need one pass over the documents with the weights (of words of the learned documents). Nulls: a null text is
+empty; a null label or doc_id isn't learned from; a null doc_id is held out (its crc32 is taken as 0). Repeated labels of a doc_id: toxic if any is; of several texts with one doc_id the least is learned from. Every row of docs
 gives one row. Without labelled rows of both classes the score is the share of toxic ones (0 if none). An empty table gives an empty result.
 """
 
@@ -24,9 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, row_slices
+from .common import byte_texts, cut, row_slices
 
-MAX_TRAIN, MAX_WORDS, MIN_DOCS, Z_LIMIT, LAMBDA, RIDGE = 20_000, 4096, 5, 4.0, 1.0, 1e-4
+MAX_TRAIN, MIN_DOCS, Z_LIMIT, LAMBDA, RIDGE = 20_000, 5, 4.0, 1.0, 1e-4
 STRIP = b".,;:!?\"'()"
 IDENTITIES = tuple(
     tuple(w.encode() for w in words.split())
@@ -80,7 +80,7 @@ def chosen_words(rows: DataFrame) -> list[bytes]:
     n1, n0, p = every.toxic, every.n - every.toxic, F.col("n") / F.lit(float(every.n))
     z = (F.col("toxic") / n1 - (F.col("n") - F.col("toxic")) / n0) / F.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
     picked = counts.where(f"word <> '' and n >= {MIN_DOCS} and n < {every.n}").withColumn("z", z).where(F.abs("z") >= Z_LIMIT)
-    return [r.word.encode() for r in picked.orderBy(F.desc(F.abs("z")), "word").limit(MAX_WORDS).collect()]
+    return [r.word.encode() for r in picked.orderBy(F.desc(F.abs("z")), "word").collect()]  # words of at most MAX_TRAIN documents
 
 
 def fit(features: list[list[int]], toxic: np.ndarray, places: list[list[int]], n_words: int, rounds: int = 300) -> tuple[np.ndarray, float]:
@@ -122,8 +122,9 @@ def fit(features: list[list[int]], toxic: np.ndarray, places: list[list[int]], n
 
 def train(docs: DataFrame, labels: DataFrame) -> tuple[dict[bytes, float], float]:
     """Weights by word, and the bias."""
-    # MAX_TRAIN rows of two numbers bound what is broadcast
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample(labels)), "doc_id").select("toxic", "text")
+    # MAX_TRAIN rows of two numbers bound what is broadcast; one text each bounds what is learned from, and is read three times below
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample(labels)), "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text"))
+    rows = cut(rows.select("toxic", "text"), "labelled")
     words = chosen_words(rows)
     terms = [w for group in IDENTITIES for w in group]
     index = {w: i for i, w in enumerate(dict.fromkeys([*words, *terms]))}
