@@ -5,7 +5,7 @@ mask. What stands after the last assistant turn becomes a last example without a
 
 Template: `<|im_start|>role\n` text `<|im_end|>\n` for each turn. Inside roles and texts every `<\...\|` (with any number of backslashes, none
 included) gets one more backslash, so no control string is left in them; taking one away gives back what was there. Newlines in
-roles are told apart by being the last before the text: in roles `\n` and `\r` are written as `<\n|` and `<\r|`.
+roles are told apart by being the last before the text: in roles `\n` is written as `<n`, and each `<\...\n` (the letter) gets one more backslash.
 
 Conversations are dealt by conv_id and streamed in turn order: memory holds one conversation's prefix. The examples' total
 length grows with the square of a conversation's turns; that is what this method asks for.
