@@ -14,6 +14,7 @@ import os
 import sys
 import types
 from array import array
+from codecs import charmap_decode
 from string import punctuation as MARKS
 
 import numpy as np
@@ -39,15 +40,18 @@ class Encoder(dict):
         # bytes that aren't printable in Latin-1 are moved to 256 and up, in order, as byte-level vocabularies have it
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         moved = (b for b in range(256) if b not in printable)
-        self.alphabet = {b: chr(256 + i) for i, b in enumerate(moved)}
+        letter = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(moved)}
+        self.alphabet = "".join(letter[b] for b in range(256))
 
     def _encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
+    def _tokens(self, text: str) -> list:
+        """Of letters, or a space and letters. A table of all 256 bytes, unlike str.translate, looks nothing up in Python."""
+        return self.model.tokenize(charmap_decode(text.encode(), "strict", self.alphabet)[0])
+
     def _letters(self, text: str) -> bytes:
-        """Of letters, or a space and letters."""
-        word = text if text.isascii() else text.encode().decode("latin-1")
-        return array(self.code, [t.id for t in self.model.tokenize(word.translate(self.alphabet))]).tobytes()
+        return array(self.code, [t.id for t in self._tokens(text)]).tobytes()
 
     def _marks(self, text: str) -> bytes:
         ids = self.runs.get(text)
@@ -110,8 +114,7 @@ class Counter(Encoder):
         return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def _letters(self, text: str) -> int:
-        word = text if text.isascii() else text.encode().decode("latin-1")
-        return len(self.model.tokenize(word.translate(self.alphabet)))
+        return len(self._tokens(text))
 
     def _without_newline(self, ids: int) -> int:
         return ids - self.newline
