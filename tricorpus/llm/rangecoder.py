@@ -67,28 +67,30 @@ class Model:
     def predict(self, n: int) -> None:
         """For the first n lanes: what both predict, how wide their ids are, and the weight of order 0."""
         last = self.last[:n]
-        self.pair = (self.hashed[:n] + last.view(np.uint32) * np.uint32(0x85EBCA6B)) >> np.uint32(32 - PAIRS)
-        self.v1, self.v2 = self.one[last], self.two[self.pair]
+        # numpy looks numbers up fastest by take(), and puts them fastest at places of its own index type
+        self.at1 = last.astype(np.intp)
+        self.at2 = ((self.hashed[:n] + last.view(np.uint32) * np.uint32(0x85EBCA6B)) >> np.uint32(32 - PAIRS)).astype(np.intp)
+        self.v1, self.v2 = self.one.take(self.at1), self.two.take(self.at2)
         self.p1, self.p2 = self.v1 >> 2, self.v2 >> 2
         self.c1, self.c2 = self.v1 & 3, self.v2 & 3
         differ = self.p1 != self.p2
-        self.mix = (self.c2 << 3) | (self.c1 << 1) | differ
-        self.zero = self.f0[self.mix]
-        self.s2 = self.share[self.p2]
-        self.s1 = self.share[self.p1] * differ  # one id takes both predictors' shares
-        self.w21 = self.f21[self.mix] + self.zero * (self.s2 + self.s1)
-        self.w2 = self.f2[self.mix] + self.zero * self.s2
+        self.mix = ((self.c2 << 3) | (self.c1 << 1) | differ).astype(np.intp)
+        self.zero = self.f0.take(self.mix)
+        self.s2 = self.share.take(self.p2)
+        self.s1 = self.share.take(self.p1) * differ  # one id takes both predictors' shares
+        self.w21 = self.f21.take(self.mix) + self.zero * (self.s2 + self.s1)
+        self.w2 = self.f2.take(self.mix) + self.zero * self.s2
 
     def learn(self, ids: np.ndarray, hit1: np.ndarray, hit2: np.ndarray, step: int) -> None:
         n = len(ids)
         last = self.last[:n]
-        event = np.int32(2) - 2 * hit2 - (hit1 > hit2)  # order 2: 0; order 1 alone: 1; neither: 2
+        event = np.int8(2) - (hit2.view(np.int8) << 1) - (hit1 > hit2)  # order 2: 0; order 1 alone: 1; neither: 2
         self.mixes += np.bincount(self.mix * 3 + event, minlength=96).reshape(32, 3)
         # right: one step surer; wrong: one less sure, and replaced where it was unsure already
-        for table, at, v, c, hit in ((self.one, last, self.v1, self.c1, hit1), (self.two, self.pair, self.v2, self.c2, hit2)):
+        unsure = ids << 2
+        for table, at, v, c, hit in ((self.one, self.at1, self.v1, self.c1, hit1), (self.two, self.at2, self.v2, self.c2, hit2)):
             new = v - 1 + hit * (np.int32(1) + (c < 3))
-            unsure = np.flatnonzero((c == 0) > hit)
-            new[unsure] = ids[unsure] << 2
+            np.copyto(new, unsure, where=(c == 0) > hit)
             table[at] = new
         self.seen.append(ids)
         self.hashed[:n] = last.view(np.uint32) * np.uint32(0x9E3779B1)
@@ -126,8 +128,7 @@ def _encode_ids(ids: np.ndarray, space: int) -> tuple[int, np.ndarray, np.ndarra
         hit1, hit2 = model.p1 == x, model.p2 == x
         start = model.w2 * ~hit2
         span = model.w21 - start  # of order 1, if it is right alone
-        j = np.flatnonzero(hit2)
-        span[j] = model.w2[j]
+        np.copyto(span, model.w2, where=hit2)
         i = np.flatnonzero(~(hit1 | hit2))
         y, zero = x[i], model.zero[i]
         before = model.below.take(y) - model.s2[i] * (model.p2[i] < y) - model.s1[i] * (model.p1[i] < y)
@@ -188,12 +189,11 @@ def _decode_ids(n: int, space: int, counts: np.ndarray, words: np.ndarray) -> np
         r = size[:m] >> SHIFT
         v = np.minimum(code[:m] // r, top).astype(np.int32)
         hit2, hit1 = v < model.w2, v < model.w21
-        x = model.p1
+        x = model.p1.copy()
         start = model.w2 * ~hit2
         span = model.w21 - start
-        j = np.flatnonzero(hit2)
-        x, span[j] = x.copy(), model.w2[j]
-        x[j] = model.p2[j]
+        np.copyto(x, model.p2, where=hit2)
+        np.copyto(span, model.w2, where=hit2)
         i = np.flatnonzero(~hit1)
         zero, p1, p2, s1, s2 = (a[i] for a in (model.zero, model.p1, model.p2, model.s1, model.s2))
         u = (v[i] - model.w21[i]) // zero

@@ -46,12 +46,9 @@ class Encoder(dict):
     def _encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def _tokens(self, text: str) -> list:
-        """Of letters, or a space and letters. A table of all 256 bytes, unlike str.translate, looks nothing up in Python."""
-        return self.model.tokenize(charmap_decode(text.encode(), "strict", self.alphabet)[0])
-
     def _letters(self, text: str) -> bytes:
-        return array(self.code, [t.id for t in self._tokens(text)]).tobytes()
+        """Of letters, or a space and letters."""
+        return array(self.code, [t.id for t in self.model.tokenize(charmap_decode(text.encode(), "strict", self.alphabet)[0])]).tobytes()
 
     def _marks(self, text: str) -> bytes:
         ids = self.runs.get(text)
@@ -62,12 +59,14 @@ class Encoder(dict):
         return ids
 
     def _part(self, part: str) -> bytes:
+        if part.isalpha():
+            return self._letters(" " + part)
         if part[-1] in ",." and part[:-1].isalpha():
             return self[part[:-1]] + self._marks(part[-1])
         newline = part[0] == "\n"
         body = part[1:] if newline else part
-        if body.isalpha():
-            return self.newline + self._letters(body) if newline else self._letters(" " + body)
+        if newline and body.isalpha():
+            return self.newline + self._letters(body)
         core = body.strip(MARKS)
         if not core.isalpha() or "'" in body or any(s in body for s in self.special):
             return self._encode(part if newline else " " + part)
@@ -114,7 +113,7 @@ class Counter(Encoder):
         return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def _letters(self, text: str) -> int:
-        return len(self._tokens(text))
+        return len(self.model.tokenize(charmap_decode(text.encode(), "strict", self.alphabet)[0]))
 
     def _without_newline(self, ids: int) -> int:
         return ids - self.newline
