@@ -38,6 +38,7 @@ _CLASS[ord("a") : ord("z") + 1], _CLASS[ord("A") : ord("Z") + 1], _CLASS[ord("0"
 _CLASS[SPACE], _CLASS[SYMBOLS], _CLASS[0xC0:], _CLASS[0x80:0xC0] = 3, 4, 6, 7
 _TO_CLASS = np.eye(8, dtype=np.int64)[_CLASS]
 MILLION = 1_000_000
+CELLS = 1 << 18  # of a table of texts and common words
 
 
 @dataclass(frozen=True)
@@ -67,7 +68,7 @@ def _word_counts(words: list[bytes]) -> dict[bytes, int]:
 class Places(dict):
     """A word as it stands to the place of the common word that it is, remembered; all others have the last place."""
 
-    limit = 500_000
+    limit = 1 << 17
 
     def __init__(self, common: dict[bytes, int]) -> None:
         self.common = common
@@ -212,7 +213,7 @@ def judge(docs: DataFrame, references: dict[str, Reference], small: DataFrame |
         hashes, rolling = WordHashes(), RollingHash(0xA0761D6478BD642F)
         places = {lang: Places(place) for lang, (_, place, _, _) in references.items()}
         joined: dict[str, tuple[Reference, Places]] = {}
-        for batch in row_slices(batches, "__text"):
+        for batch in row_slices(batches, "__text", 1 << 20):
             texts = byte_texts(batch, "__text")
             lists = [x.split() for x in texts]
             lens = np.fromiter(map(len, lists), np.int64, len(lists))
@@ -239,8 +240,9 @@ def judge(docs: DataFrame, references: dict[str, Reference], small: DataFrame |
                     (shares, _, words, n), place = joined[lang]
                 known[rows] = n
                 js[0, rows] = js_distance(classes[rows], shares)
-                found = np.stack([place.counts(lists[i]) for i in rows])
-                js[1, rows] = js_distance(found, words)
+                some = max(1, CELLS // len(words))  # texts at once, so that short texts don't make large tables
+                for at in range(0, len(rows), some):
+                    js[1, rows[at : at + some]] = js_distance(np.stack([place.counts(lists[i]) for i in rows[at : at + some]]), words)
             root, more = np.sqrt(np.maximum(lens, 1)), limits.docs_slack / np.sqrt(known)
             failed = (lens < 10) | (100 * repeats > 20 * lens)
             odd = (js[0] > limits.chars + limits.chars_slack / root + more) | (js[1] > limits.words + limits.words_slack / root + more)  # not a number: not judged
