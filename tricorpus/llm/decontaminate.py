@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import plain_docs, real_id
+from .common import cut, plain_docs, real_id
 
 MASKS = ("110111", "1101000111", "11001011")
 SHORT = {1: ("1",), 2: ("11",), 3: ("111",), 4: ("1111",), 5: ("1111", "11011", "10111", "11101"), 6: ("1111", "11011"), 7: ("1111", "11011")}
@@ -80,7 +80,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 16, substi
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 16, substitutions: float = 0.2, least: int = 1) -> DataFrame:
     """The rows of docs whose text holds no benchmark item, with all their columns; each row is judged by its own text."""
-    bad = _found(plain_docs(docs), benchmark, window, substitutions, least).select(F.col("text_key").alias("__bad")).distinct()
+    # written first, so that its size is known: Spark broadcasts it where it is small, and need not shuffle whole texts for it
+    bad = cut(_found(plain_docs(docs), benchmark, window, substitutions, least).select(F.col("text_key").alias("__bad")).distinct(), "contaminated")
     return docs.join(bad, F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == bad["__bad"], "left_anti")
 
 
