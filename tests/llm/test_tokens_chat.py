@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from tricorpus.llm import chat, rangecoder, token_files
-from tricorpus.llm.tokens import Counter, encoder
+from tricorpus.llm.tokens import Counter, Encoder, encoder
 
 
 @functools.cache
@@ -41,6 +41,33 @@ def test_words_and_marks_equal_the_tokenizer():
         assert numbers.counts(texts) == [len(x) for x in want]
 
 
+class Asked(Encoder):
+    asked = 0
+
+    def __getitem__(self, part):
+        self.asked += 1
+        return super().__getitem__(part)
+
+
+def test_a_part_is_looked_up_once_for_many_texts():
+    texts = ["the cat, the dog.", "the (cat) the dog!"] * 100
+    code = encoder(kind=Asked)
+    assert [np.frombuffer(x, code.dtype).tolist() for x in code.texts(texts)] == [plain_ids(t) for t in texts]
+    assert code.asked == len({"\nthe", " cat", ",", " the", " dog", ".", " (", "cat", ")", "!"})
+    assert " dog" in code and " dog." not in code  # a word before a mark is the same word
+
+
+def test_texts_cut_at_marks_equal_the_tokenizer():
+    r = random.Random(3)
+    pieces = [*"abst'''(,.)!-$é’—9", "'ll", "'re", "<|endoftext|>", "<|", "|>", " ", " ", "\n"]
+    texts = ["".join(r.choice(pieces) for _ in range(r.randint(0, 20))) for _ in range(5000)]
+    code, numbers = encoder(), encoder(kind=Counter)
+    want = [plain_ids(t) for t in texts]
+    assert [np.frombuffer(x, code.dtype).tolist() for x in code.texts(texts)] == want
+    assert numbers.counts(texts) == [len(x) for x in want]
+    assert code.texts([]) == [] and numbers.counts([]) == []
+
+
 def test_too_large_ids_are_refused():
     with pytest.raises(ValueError):
         rangecoder.encode_block(np.array([1]), np.array([1]), np.array([1 << 19]))

@@ -106,6 +106,14 @@ def _lanes(n: int) -> tuple[int, int]:
     return -(-n // steps) if n else 0, steps
 
 
+def _turned(grid: np.ndarray) -> np.ndarray:
+    """Rows as columns, copied in strips that fit the CPU's caches."""
+    out = np.empty(grid.shape[::-1], grid.dtype)
+    for at in range(0, len(grid), 64):
+        out[:, at : at + 64] = grid[at : at + 64].T
+    return out
+
+
 def _encode_ids(ids: np.ndarray, space: int) -> tuple[int, np.ndarray, np.ndarray]:
     """Lanes, 32-bit words of each lane, and all the words lane by lane."""
     n = len(ids)
@@ -114,7 +122,7 @@ def _encode_ids(ids: np.ndarray, space: int) -> tuple[int, np.ndarray, np.ndarra
         return 0, np.zeros(0, np.uint32), np.zeros(0, np.uint32)
     grid = np.zeros(lanes * steps, np.int32)
     grid[:n] = ids
-    grid = np.ascontiguousarray(grid.reshape(lanes, steps).T)
+    grid = _turned(grid.reshape(lanes, steps))
     model = Model(space, lanes)
     low, size = np.zeros(lanes, np.uint64), np.full(lanes, np.uint64(2**64 - 1))
     written = np.zeros(lanes, np.int64)
@@ -195,14 +203,15 @@ def _decode_ids(n: int, space: int, counts: np.ndarray, words: np.ndarray) -> np
         np.copyto(x, model.p2, where=hit2)
         np.copyto(span, model.w2, where=hit2)
         i = np.flatnonzero(~hit1)
-        zero, p1, p2, s1, s2 = (a[i] for a in (model.zero, model.p1, model.p2, model.s1, model.s2))
+        zero, p1, p2, s1, s2 = (a.take(i) for a in (model.zero, model.p1, model.p2, model.s1, model.s2))
         u = (v[i] - model.w21[i]) // zero
-        # put back, the lower one first, the shares that stand at the front
+        # put back the shares that stand at the front: of the higher one where u, with the lower one's, reaches it
         b1, b2 = model.below.take(p1), model.below.take(p2)
-        u += np.where(p1 < p2, s1 * (u >= b1), s2 * (u >= b2))
-        u += np.where(p1 < p2, s2 * (u >= b2), s1 * (u >= b1))
+        front = s1 * (u >= b1 - s2 * (p2 < p1))
+        front += s2 * (u >= b2 - s1 * (p1 < p2))
+        u += front
         y = model.owner.take(np.minimum(u, (1 << TOTAL_BITS) - 1))
-        before = model.below.take(y) - s2 * (p2 < y) - s1 * (p1 < y)
+        before = model.below.take(y) - front
         x[i] = y
         start[i] = model.w21[i] + zero * before
         span[i] = zero * model.share.take(y)
@@ -215,7 +224,7 @@ def _decode_ids(n: int, space: int, counts: np.ndarray, words: np.ndarray) -> np
             raise ValueError("block is damaged")
         grid[t, :m] = x
         model.learn(x, model.p1 == x, model.p2 == x, t)
-    return grid.T.ravel()[:n].astype(np.int64)
+    return _turned(grid).ravel()[:n].astype(np.int64)
 
 
 def encode_block(doc_ids: np.ndarray, lens: np.ndarray, ids: np.ndarray) -> bytes:

@@ -25,6 +25,7 @@ from .rangecoder import decode_block, encode_block
 from .tokens import encoder
 
 BLOCK_IDS = 1 << 21
+SLICE = 8 << 20  # bytes of text that are encoded at once
 BLOCKS = "part int, block int, before long, n_docs long, n_ids long, data binary"
 
 
@@ -46,7 +47,7 @@ def block_writer(end_id: int, tokenizer: str):
             row = [pa.array([v], t) for v, t in ((part, pa.int32()), (block, pa.int32()), (before, pa.int64()), (len(lens), pa.int64()), (len(ids), pa.int64()), (data, pa.binary()))]
             return pa.RecordBatch.from_arrays(row, [c.split()[0] for c in BLOCKS.split(", ")])
 
-        for batch in row_slices(batches, limit=1 << 20):
+        for batch in row_slices(batches, limit=SLICE):
             for i, ids in zip(batch.column("doc_id").to_pylist(), code.texts(batch.column("text").to_pylist())):
                 held_ids.append(i)
                 held.append(ids + end)

@@ -1,11 +1,11 @@
 """Token ids of texts with a public tokenizer file, fast enough for whole corpora.
 
-The byte-level pre-tokenizer cuts before any single space or newline that stands between other characters, whatever is
-around it, so a text without two white-space characters in a row is the sequence of its parts, each with the space or newline
-before it. Parts are encoded once and remembered (words recur); every other text is encoded whole. A text's first part is taken
+The byte-level pre-tokenizer cuts before any single space or newline that stands between other characters, and between ASCII letters or digits and
+ASCII marks (but after an apostrophe, as contractions begin with one), whatever is around them. So a text without two white-space characters in a
+row and without special tokens is the sequence of its parts, each with the space or newline before it. Distinct parts are found for many texts at once,
+encoded once and remembered (words recur), and their ids laid out by numpy; every other text is encoded whole. A text's first part is taken
 as if a newline stood before it, whose id is dropped. Runs of letters and runs of ASCII marks are pieces of their own for the pre-tokenizer
-(but for contractions and special tokens, which are left to it); the letters go to the tokenizer's model directly, in the
-alphabet that stands for bytes there.
+(but for contractions, which are left to it); the letters go to the tokenizer's model directly, in the alphabet that stands for bytes there.
 """
 
 from __future__ import annotations
@@ -15,14 +15,20 @@ import sys
 import types
 from array import array
 from codecs import charmap_decode
+from string import ascii_letters, digits
 from string import punctuation as MARKS
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+GAP, MARK, ALNUM = 1, 2, 4
+KINDS = bytes(GAP if b in b" \n" else MARK if chr(b) in MARKS else ALNUM if chr(b) in ascii_letters + digits else 0 for b in range(256))
 
 
 class Encoder(dict):
-    """Ids of texts as little-endian unsigned 16- or 32-bit integers. As a dict: ids of the parts met lately, where those that
-    follow a space stand without it and those that follow a newline with it; an older generation is kept beside it."""
+    """Ids of texts as little-endian unsigned 16- or 32-bit integers. As a dict: ids of the parts met lately; an older generation is
+    kept beside it."""
 
     limit = 1 << 19
 
@@ -59,27 +65,18 @@ class Encoder(dict):
         return ids
 
     def _part(self, part: str) -> bytes:
-        if part.isalpha():
-            return self._letters(" " + part)
-        if part[-1] in ",." and part[:-1].isalpha():
-            return self[part[:-1]] + self._marks(part[-1])
-        newline = part[0] == "\n"
-        body = part[1:] if newline else part
-        if newline and body.isalpha():
-            return self.newline + self._letters(body)
+        gap = part[0] if part[0] in " \n" else ""
+        body = part[len(gap) :]
+        if body.isalpha():
+            return self.newline + self._letters(body) if gap == "\n" else self._letters(part)
         core = body.strip(MARKS)
-        if not core.isalpha() or "'" in body or any(s in body for s in self.special):
-            return self._encode(part if newline else " " + part)
+        if not core.isalpha() or "'" in body:
+            return self._encode(part)
         at = body.index(core)
         lead, trail = body[:at], body[at + len(core) :]
-        ids = self[("\n" if newline or lead else "") + core]
-        if lead:
-            ids = (self.newline + self._marks(lead) if newline else self._marks(" " + lead)) + self._without_newline(ids)
+        ids = self._marks(gap + lead) + self[core] if lead else self[gap + core]
         return ids + self._marks(trail) if trail else ids
 
-    def _without_newline(self, ids: bytes) -> bytes:
-        return ids[len(self.newline) :]
-
     def __missing__(self, part: str) -> bytes:
         ids = self.old.get(part)
         if ids is None:
@@ -89,21 +86,51 @@ class Encoder(dict):
 
     def texts(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, end to end."""
-        skip = len(self.newline)
-        return self._each(texts, lambda parts: b"".join(parts)[skip:])
+        return self._each(texts, self._laid)
 
     def _each(self, texts: list[str], join) -> list:
-        out, get = [], self.__getitem__
+        plain, out = [], []
         for t in texts:
             flat = t.replace("\n", " ")
-            if flat.isprintable() and "  " not in flat and flat[:1] != " " and flat[-1:] not in ("", " "):
-                if len(self) > self.limit:
-                    self.old = dict(self)
-                    self.clear()
-                out.append(join(map(get, ("\n" + t).replace("\n", " \n").split(" ")[1:])))
+            if flat.isprintable() and "  " not in flat and flat[:1] != " " and flat[-1:] not in ("", " ") and not any(s in t for s in self.special):
+                plain.append(t.encode())
+                out.append(None)
             else:
                 out.append(self._encode(t))
-        return out
+        joined = iter(join(*self._parts(plain)) if plain else ())
+        return [next(joined) if x is None else x for x in out]
+
+    def _parts(self, texts: list[bytes]) -> tuple[list, np.ndarray, np.ndarray]:
+        """What the distinct parts of the texts are encoded as; which of them each part is; and where each text's first part is, and the end."""
+        data = b"\n" + b"\n".join(texts)
+        byte = np.frombuffer(data, np.uint8)
+        kind = np.frombuffer(data.translate(KINDS), np.uint8)
+        cut = kind[:-1] | kind[1:] == MARK | ALNUM
+        cut &= byte[:-1] != ord("'")
+        cut |= kind[1:] == GAP
+        at = np.concatenate([[0], np.flatnonzero(cut) + 1, [len(data)]])
+        found = pa.LargeStringArray.from_buffers(len(at) - 1, pa.py_buffer(at), pa.py_buffer(data)).dictionary_encode()
+        distinct = found.dictionary
+        # no part has a tab, so this is the quickest way to Python's strings
+        parts = pc.binary_join(pa.ListArray.from_arrays([0, len(distinct)], distinct), pa.scalar("\t", pa.large_string()))[0].as_py().split("\t")
+        if len(self) > self.limit:
+            self.old = dict(self)
+            self.clear()
+        ends = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        return list(map(self.__getitem__, parts)), found.indices.to_numpy().astype(np.intp), np.searchsorted(at, ends)
+
+    def _laid(self, ids: list[bytes], which: np.ndarray, first: np.ndarray) -> list[bytes]:
+        flat = np.frombuffer(b"".join(ids), self.dtype)
+        lens = np.fromiter(map(len, ids), np.int64, len(ids)) // self.dtype.itemsize
+        start, n = (np.cumsum(lens) - lens).take(which), lens.take(which)
+        skip = len(self.newline) // self.dtype.itemsize
+        start[first[:-1]] += skip
+        n[first[:-1]] -= skip
+        at = np.concatenate([[0], np.cumsum(n)])  # where each part's ids go
+        place = np.repeat(start - at[:-1], n)
+        place += np.arange(len(place))
+        data, ends = flat.take(place).tobytes(), (at.take(first) * self.dtype.itemsize).tolist()
+        return [data[a:b] for a, b in zip(ends, ends[1:])]
 
 
 class Counter(Encoder):
@@ -115,12 +142,12 @@ class Counter(Encoder):
     def _letters(self, text: str) -> int:
         return len(self.model.tokenize(charmap_decode(text.encode(), "strict", self.alphabet)[0]))
 
-    def _without_newline(self, ids: int) -> int:
-        return ids - self.newline
-
     def counts(self, texts: list[str]) -> list[int]:
         """The number of ids of each text."""
-        return self._each(texts, lambda parts: sum(parts) - self.newline)
+        return self._each(texts, self._sums)
+
+    def _sums(self, numbers: list[int], which: np.ndarray, first: np.ndarray) -> list[int]:
+        return (np.add.reduceat(np.array(numbers, np.int64).take(which), first[:-1]) - self.newline).tolist()
 
 
 def encoder(name: str = "byte_bpe_50k.json", kind: type[Encoder] = Encoder) -> Encoder:
