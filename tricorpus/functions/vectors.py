@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,3 +23,21 @@ def cosine_distance(a: Column, b: Column) -> Column:
     """1 - cosine; null where a vector is zero."""
     norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
     return F.when(norm > 0, 1 - dot(a, b) / norm)
+
+
+def squares(x: np.ndarray) -> np.ndarray:
+    return np.einsum("ij,ij->i", x, x)
+
+
+def l2_block(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """L2 distances of the rows of x from those of y; those of near rows come from their difference, as products lose their digits."""
+    s, t = squares(x), squares(y)
+    d = x @ y.T
+    d *= -2
+    d += s[:, None]
+    d += t
+    at = np.flatnonzero(d.ravel() <= 1e-4 * (s.max(initial=0) + t.max(initial=0)))
+    for k in range(0, len(at), 1 << 16):
+        i, j = np.divmod(at[k : k + (1 << 16)], len(y))
+        d[i, j] = squares(x[i] - y[j])
+    return np.sqrt(d, out=d)
