@@ -65,3 +65,36 @@ def test_large_quartile_holds_no_matrix():
     w = c[:, None] * c[None] - np.diag(c)
     assert choices.large_quartile(x, c, None) == pytest.approx(np.percentile(np.repeat(d.ravel(), w.ravel()), 75), abs=1e-12)
     assert choices.large_quartile(x, c, other) == pytest.approx(np.percentile(np.repeat(d.ravel(), np.outer(c, other).ravel()), 75), abs=1e-12)
+
+
+@pytest.mark.parametrize("mixed", (False, True))
+def test_distances_of_large_groups_equal_those_of_small_ones(spark, mixed, monkeypatch):
+    """In blocks, no task makes the pairs of a whole group."""
+    r = np.random.default_rng(7)
+    x = r.integers(-2, 3, size=(90, 3)).astype(float)
+    rows = spark.createDataFrame([(f"g{i % 2}", i, bool(i % 3), v.tolist()) for i, v in enumerate(x)] + [("g2", 1, True, [1.0, 2.0, 3.0]), ("g2", 2, False, [0.0, 0.0, 0.0])], "g string, place int, is_first boolean, embedding array<float>")
+    want = {m: {k.g: k.spread for k in spread.group_distances(rows, ["g"], mixed, m).collect()} for m in spread.METHODS}
+    monkeypatch.setattr(spread, "LARGE", 2)
+    monkeypatch.setattr(spread, "BLOCK_ROWS", 16)
+    for m in spread.METHODS:
+        made = spread.group_distances(rows, ["g"], mixed, m)
+        assert {k.g: k.spread for k in made.collect()} == pytest.approx(want[m], abs=1e-12) and len(want[m]) == 3
+        if m == "mean":
+            assert "GroupsInArrow" in made._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("metric", ("l2", "cosine"))
+def test_pairs_come_from_blocks_to_the_last_bit(spark, metric):
+    from pyspark.sql import functions as F
+
+    from tricorpus.functions import vectors as V
+
+    x = np.random.default_rng(9).normal(size=(70, 6)).astype(np.float32)
+    x[3] = 0
+    rows = spark.createDataFrame([(i, i % 2, v.tolist()) for i, v in enumerate(x)] + [(70, 0, None), (71, None, [1.0] * 6)], "vec_id long, label int, embedding array<float>")
+    made = spread.pair_distances(rows, "label", metric=metric, block_rows=8)
+    assert "GroupsInArrow" in made._jdf.queryExecution().executedPlan().toString()
+    a, b = rows.select("label", F.col("vec_id").alias("a"), F.col("embedding").alias("x")), rows.select("label", F.col("vec_id").alias("b"), F.col("embedding").alias("y"))
+    plain = a.join(b, "label").where("a < b").select("label", "a", "b", (V.l2_distance if metric == "l2" else V.cosine_distance)(F.col("x"), F.col("y")).alias("distance"))
+    key = lambda r: (r[1], r[2])
+    assert sorted(map(tuple, made.collect()), key=key) == sorted(map(tuple, plain.collect()), key=key)
