@@ -5,7 +5,7 @@ from itertools import product
 import numpy as np
 import pytest
 
-from tricorpus.operators import choices, spread
+from tricorpus.operators import choices, clusters, spread
 
 ROWS = "cluster string, paper string, subject string, verb string, object string"
 
@@ -98,3 +98,23 @@ def test_pairs_come_from_blocks_to_the_last_bit(spark, metric):
     plain = a.join(b, "label").where("a < b").select("label", "a", "b", (V.l2_distance if metric == "l2" else V.cosine_distance)(F.col("x"), F.col("y")).alias("distance"))
     key = lambda r: (r[1], r[2])
     assert sorted(map(tuple, made.collect()), key=key) == sorted(map(tuple, plain.collect()), key=key)
+
+
+def test_equal_vectors_are_one_in_linkage(spark):
+    """400 terms of 4 vectors are 4 to compare; with 400 a component of over 10 was an error."""
+    eye = np.eye(4)
+    df = spark.createDataFrame([(f"t{i:03}", eye[i % 4].tolist()) for i in range(400)], "term string, embedding array<double>")
+    got = {r.term: r.cluster for r in clusters.linkage_cut(df, 0.05, max_component=10).collect()}
+    assert got == {f"t{i:03}": f"t{i % 4:03}" for i in range(400)}
+
+
+def test_average_linkage_of_weighted_rows_and_of_ties():
+    r = np.random.default_rng(2)
+    x = r.normal(size=(40, 6)) + 1
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    n = r.integers(1, 5, 40)
+    whole, few = clusters.average_linkage_cut(np.repeat(x, n, axis=0), 0.2), clusters.average_linkage_cut(x, 0.2, n)
+    first = np.cumsum(n) - n
+    assert (first[few] == whole[first]).all() and 1 < len(set(few)) < 40
+    assert set(clusters.average_linkage_cut(np.eye(9), 1.0).tolist()) == {0}  # all equally far
+    assert clusters.MAX_COMPONENT >= 102_564  # the vectors of 1 GB hang together
