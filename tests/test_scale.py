@@ -118,3 +118,11 @@ def test_average_linkage_of_weighted_rows_and_of_ties():
     assert (first[few] == whole[first]).all() and 1 < len(set(few)) < 40
     assert set(clusters.average_linkage_cut(np.eye(9), 1.0).tolist()) == {0}  # all equally far
     assert clusters.MAX_COMPONENT >= 102_564  # the vectors of 1 GB hang together
+
+
+def test_sets_of_terms_are_clustered_by_themselves(spark):
+    """Near copies in different sets stay apart."""
+    rows = [(f"{s}{i}", s, [1.0, e]) for s in "ab" for i, e in enumerate((0.0, 0.01, 5.0))]
+    df = spark.createDataFrame(rows, "term string, id string, embedding array<double>")
+    assert {r.term: r.cluster for r in clusters.linkage_cut(df, 0.05, within="id").collect()} == {"a0": "a0", "a1": "a0", "a2": "a2", "b0": "b0", "b1": "b0", "b2": "b2"}
+    assert {r.term: r.cluster for r in clusters.linkage_cut(df, 0.05).collect()} == {"a0": "a0", "a1": "a0", "a2": "a2", "b0": "a0", "b1": "a0", "b2": "a2"}
