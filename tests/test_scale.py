@@ -126,3 +126,24 @@ def test_sets_of_terms_are_clustered_by_themselves(spark):
     df = spark.createDataFrame(rows, "term string, id string, embedding array<double>")
     assert {r.term: r.cluster for r in clusters.linkage_cut(df, 0.05, within="id").collect()} == {"a0": "a0", "a1": "a0", "a2": "a2", "b0": "b0", "b1": "b0", "b2": "b2"}
     assert {r.term: r.cluster for r in clusters.linkage_cut(df, 0.05).collect()} == {"a0": "a0", "a1": "a0", "a2": "a2", "b0": "a0", "b1": "a0", "b2": "a2"}
+
+
+def same_as_sql(spark, name, d):
+    """Whether a query and its SQL give the same rows over the tables in d."""
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    con = duckdb.connect()
+    for p in d.iterdir():
+        con.sql(f"create view {p.stem} as select * from read_parquet('{p}{'/*.parquet' if p.is_dir() else ''}')")
+    want = con.sql(entry.oracle_sql()[name]).fetchall()
+    got = [tuple(r) for r in entry.queries()[name](spark, str(d)).collect()]
+    assert len(want) > 1
+    return sorted(map(repr, got)) == sorted(map(repr, want))
+
+
+def test_categories_of_documents_beyond_five_digits(spark, tmp_path):
+    ids = [*range(12), *range(299_994, 300_012), 3_000_001, 3_000_003, 3_000_006]
+    spark.createDataFrame([(i, "t") for i in ids], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert same_as_sql(spark, "category_map", tmp_path)
