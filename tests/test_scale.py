@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from tricorpus.operators import choices, clusters, spread
+from tricorpus.sources import files
 
 ROWS = "cluster string, paper string, subject string, verb string, object string"
 
@@ -147,3 +148,13 @@ def test_categories_of_documents_beyond_five_digits(spark, tmp_path):
     ids = [*range(12), *range(299_994, 300_012), 3_000_001, 3_000_003, 3_000_006]
     spark.createDataFrame([(i, "t") for i in ids], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     assert same_as_sql(spark, "category_map", tmp_path)
+
+
+def test_texts_are_files_in_few_folders(spark, tmp_path):
+    """Names and texts come back as they were; before, each paper had a folder of its own."""
+    rows = [("a b+c.txt", "x"), ("100%.txt", "two\nlines\n"), ("_hidden", ""), (".dot", None), ("x/y=z:é?", "é\r\n"), ("paper=1", "\n"), *((f"n{i}.txt", f"t{i}") for i in range(600))]
+    files.write_texts(spark.createDataFrame(rows, "paper string, text string"), str(tmp_path / "t"))
+    assert {(r.paper, r.text) for r in files.read_texts(spark, str(tmp_path / "t")).collect()} == {(p, t or "") for p, t in rows}
+    assert len([p for p in (tmp_path / "t").rglob("*") if p.is_dir()]) <= files.FOLDERS
+    with pytest.raises(FileExistsError):
+        files.write_texts(spark.createDataFrame(rows, "paper string, text string"), str(tmp_path / "t"))

@@ -6,8 +6,13 @@ Nothing is ever deleted from the inputs: where a stage would drop files, the ope
 from __future__ import annotations
 
 import ast
+import re
+import uuid
+from urllib.parse import quote
 
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +21,8 @@ from ..functions import text as T
 
 #: id, then v and a version of any number of digits.
 FILE_NAME = r"^(.*)v([0-9]+)[.]pdf$"
+#: Folders of write_texts, and the name of a paper that has none.
+FOLDERS, NO_NAME = 256, "__HIVE_DEFAULT_PARTITION__"
 
 
 def file_id(name: Column | str) -> Column:
@@ -88,14 +95,49 @@ def write_lines(rows: DataFrame, path: str, papers: DataFrame | None = None) ->
 
 
 def write_texts(texts: DataFrame, path: str) -> None:
-    """A folder with one plain-text file for each of texts(paper, text), as read_texts finds them; for corpora of many papers prefer the Parquet of write_lines."""
-    texts.select("paper", F.coalesce("text", F.lit("")).alias("text")).repartition("paper").write.partitionBy("paper").text(path)
+    """A folder with one plain-text file for each paper of texts(paper, text), as read_texts finds them; for corpora of many papers prefer the Parquet of
+    write_lines. Texts of one paper are one below the other.
+
+    Files lie in FOLDERS folders and are written from the tasks, as Spark's writer makes a folder for each. Where pyarrow doesn't know the file system, Spark writes."""
+    rows = texts.groupBy("paper").agg(F.array_join(F.collect_list(F.coalesce("text", F.lit(""))), "\n").alias("text"))
+    context = texts.sparkSession.sparkContext
+    where = context._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(context._jsc.hadoopConfiguration())
+    uri = re.sub("^file:/+", "file:///", system.makeQualified(where).toString())
+    if system.exists(where):
+        raise FileExistsError(path)
+    try:
+        fs.FileSystem.from_uri(uri)
+    except (pa.ArrowException, OSError, ValueError):
+        rows.write.partitionBy("paper").text(path)
+        return
+
+    def write(batches):
+        store, top = fs.FileSystem.from_uri(uri)
+        made = set()
+        for batch in batches:
+            for folder, paper, text in zip(*(batch.column(c).to_pylist() for c in ("folder", "paper", "text")), strict=True):
+                if folder not in made:
+                    store.create_dir(f"{top}/{folder}")
+                    made.add(folder)
+                name = f"{top}/{folder}/paper={NO_NAME if paper is None else quote(str(paper), safe='')}"
+                with store.open_output_stream(own := f"{name}.{uuid.uuid4().hex}") as out:
+                    out.write(text.encode() + b"\n")
+                store.move(own, name)  # whole, whichever attempt of a task is the last
+            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
+
+    system.mkdirs(where)
+    folder = F.format_string("%03d", F.pmod(F.xxhash64("paper"), F.lit(FOLDERS)))
+    dealt = rows.select(folder.alias("folder"), F.col("paper").cast("string").alias("paper"), "text")
+    dealt.mapInArrow(write, "n long").write.format("noop").mode("overwrite").save()
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """(paper, text) of write_texts; the line end that the writer puts at a text's end is taken off."""
-    raw = spark.read.schema("value string, paper string").text(path, wholetext=True)
-    return raw.select("paper", F.regexp_replace("value", "\\n$", "").alias("text"))
+    raw = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
+    name = F.url_decode(F.regexp_extract(F.url_decode("_metadata.file_path"), "/paper=([^/]*)(/[^/]*)?$", 1))
+    text = F.when(F.endswith("value", F.lit("\n")), F.expr("left(value, length(value) - 1)")).otherwise(F.col("value"))
+    return raw.select(F.when(name != NO_NAME, name).alias("paper"), text.alias("text"))
 
 
 def load_or_make(spark: SparkSession, path: str, make) -> DataFrame:
