@@ -5,6 +5,7 @@ from itertools import product
 import numpy as np
 import pytest
 
+from tricorpus.functions import plugins
 from tricorpus.operators import choices, clusters, spread
 from tricorpus.sources import files
 
@@ -158,3 +159,13 @@ def test_texts_are_files_in_few_folders(spark, tmp_path):
     assert len([p for p in (tmp_path / "t").rglob("*") if p.is_dir()]) <= files.FOLDERS
     with pytest.raises(FileExistsError):
         files.write_texts(spark.createDataFrame(rows, "paper string, text string"), str(tmp_path / "t"))
+
+
+def test_plugins_get_few_values_at_a_time(spark):
+    """Before, a function got a whole batch, up to 10,000 pages, as Python strings."""
+    from pyspark.sql import functions as F
+
+    lens = plugins.from_python(lambda values: [f"{len(values)} {sum(len(v or '') for v in values)}" for _ in values], "string")
+    rows = spark.range(0, 3000, numPartitions=1).select("id", F.when(F.col("id") % 7 > 0, F.repeat(F.lit("x"), 5000)).alias("t"))
+    got = [tuple(map(int, r.n.split())) for r in rows.select(lens(F.col("t")).alias("n")).collect()]
+    assert len(got) == 3000 and max(n for n, _ in got) <= plugins.SLICE_ROWS and max(b for _, b in got) <= plugins.SLICE_BYTES
