@@ -169,3 +169,19 @@ def test_plugins_get_few_values_at_a_time(spark):
     rows = spark.range(0, 3000, numPartitions=1).select("id", F.when(F.col("id") % 7 > 0, F.repeat(F.lit("x"), 5000)).alias("t"))
     got = [tuple(map(int, r.n.split())) for r in rows.select(lens(F.col("t")).alias("n")).collect()]
     assert len(got) == 3000 and max(n for n, _ in got) <= plugins.SLICE_ROWS and max(b for _, b in got) <= plugins.SLICE_BYTES
+
+
+def test_first_words_of_long_texts(spark):
+    """The whole text is read only where its beginning doesn't tell; before, all of it was searched several times a row."""
+    import re
+
+    from pyspark.sql import functions as F
+
+    from tricorpus import stage_queries as S
+
+    texts = ["", "one", "One TWO three", "a b c " * 100 + "abc def ghi jkl", "abc def " + "x" * 900 + " ghi", "abc def " + "ab " * 128 + "longerword end more", "ÀBC abc ded efg " * 80, "K" * 5 + " İstanbul abc " + "z" * 500, None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    got = {r.i: r.w for r in rows.select("i", S._first_three(F.col("text")).alias("w")).collect()}
+    assert got.pop(8) is None and got == {i: re.findall("[a-z]{3,}", t.lower())[:3] for i, t in enumerate(texts) if t is not None}
+    plan = S._defined(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 2
