@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from tricorpus.functions import plugins
-from tricorpus.operators import choices, clusters, spread
+from tricorpus.operators import choices, clusters, groups, spread
 from tricorpus.sources import files
 
 ROWS = "cluster string, paper string, subject string, verb string, object string"
@@ -185,3 +185,14 @@ def test_first_words_of_long_texts(spark):
     assert got.pop(8) is None and got == {i: re.findall("[a-z]{3,}", t.lower())[:3] for i, t in enumerate(texts) if t is not None}
     plan = S._defined(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all") == 2
+
+
+def test_choices_of_large_clusters_are_dealt_by_members(spark, monkeypatch):
+    """64 choices of 20 papers each were one task's work, as they are fewer than CHOICES."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(groups, "MEMBERS", 40)
+    rows = spark.createDataFrame([("c", f"p{p:02}", "s", f"v{k}", "o") for p in range(20) for k in range(2 if p < 6 else 1)], ROWS)
+    found = groups.fair_groups(rows, spark.createDataFrame([(f"p{p:02}", "cs") for p in range(20)], "paper string, category string"))
+    made = found.select(F.array_join(F.transform("members", lambda m: F.concat(m["paper"], m["verb"])), " ").alias("m"), F.spark_partition_id().alias("task")).collect()
+    assert len(made) == len({r.m for r in made}) == 64 and len({r.task for r in made}) > 1

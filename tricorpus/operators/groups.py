@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .triplets import ROLES
 
-CHOICES = 65_536
+CHOICES, MEMBERS = 65_536, 1 << 20
 LEAST_SHARE = 0.25
 KINDS = ("first", "other", "mixed")
 
@@ -36,7 +36,8 @@ def fair_groups(rows: DataFrame, categories: DataFrame, one_per_paper: bool = Tr
 
     With one_per_paper a cluster gives every choice of one of its triplets a paper, else itself. A group gives its members of the first category if
     they are over one, those of the others likewise, and all of them if both kinds have over a quarter. Equal lists from different choices all
-    stay: they weigh in means. Choices are numbered, and made from their numbers, CHOICES to a row at a time over all tasks, so no row holds them all. It
+    stay: they weigh in means. Choices are numbered, and made from their numbers, CHOICES to a row at a time (fewer if they have over MEMBERS members) over all
+    tasks, so no row holds them all. It
     is an error if a cluster has more than max_product, if that is given, or than 2**62; `group_sizes` and spread.mean_spread need no choices."""
     most = 2**62 if max_product is None else max_product
     t = F.struct(*ROLES, "paper", "is_first")
@@ -50,8 +51,11 @@ def fair_groups(rows: DataFrame, categories: DataFrame, one_per_paper: bool = Tr
         lists = lists.withColumn("sizes", sizes).withColumn("all", product("sizes"))
         checked = F.when(F.col("all") <= float(most), F.col("all").cast("long")).otherwise(F.raise_error(F.lit("a cluster has more than max_product choices of one triplet a paper")).cast("long"))
         strides = F.reverse(F.transform("sizes", lambda _, i: product(F.slice("sizes", F.lit(1), i)).cast("long")))
-        stretches = lists.select("cluster", "papers", strides.alias("strides"), checked.alias("all")).select("*", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("all") - 1).cast("long"), F.lit(CHOICES).cast("long"))).alias("begin"))
-        each = stretches.repartition("cluster", "begin").select("cluster", "papers", "strides", F.explode(F.sequence("begin", F.least(F.col("begin") + (CHOICES - 1), F.col("all") - 1))).alias("choice"))
+        # so many choices a row of `stretches` that they have MEMBERS members at most, and one at least
+        several = F.greatest(F.lit(1), F.least(F.lit(CHOICES), F.floor(F.lit(MEMBERS) / F.size("papers")))).cast("long")
+        stretches = lists.select("cluster", "papers", strides.alias("strides"), checked.alias("all"), several.alias("several")).select("*", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("all") - 1).cast("long"), F.col("several"))).alias("begin"))
+        parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # else small rows, of which each makes many, come together
+        each = stretches.repartition(parts, "cluster", "begin").select("cluster", "papers", "strides", F.explode(F.sequence("begin", F.least(F.col("begin") + F.col("several") - 1, F.col("all") - 1))).alias("choice"))
         member = lambda p, i: F.get(p["t"], (F.call_function("div", F.col("choice"), F.get("strides", i)) % F.size(p["t"])).cast("int"))
         groups = each.select("cluster", "choice", F.transform("papers", member).alias("members"))
     else:
